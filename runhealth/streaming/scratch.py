@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,18 +9,22 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+RUN_SECONDS = 3600
 STATE_STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the shared one the cluster names.
+    """A fresh folder below the shared one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where none is named (local tests) is a temporary folder used.
+    Where none is named, a local session gets a folder of its own below its warehouse;
+    any other master raises, since its executors would not see each other's files.
     """
     base = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not base:
-        base = tempfile.mkdtemp(prefix="runhealth-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -48,5 +51,7 @@ def run_available(stream: DataFrame, spark: SparkSession, purpose: str) -> DataF
             .option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint")
             .trigger(availableNow=True).start()
         )
-        query.awaitTermination()
+        if not query.awaitTermination(RUN_SECONDS):
+            query.stop()
+            raise TimeoutError(f"{purpose}: the stream did not finish in {RUN_SECONDS} s")
     return spark.read.schema(stream.schema).parquet(f"{home}/out")
