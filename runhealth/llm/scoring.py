@@ -1,0 +1,101 @@
+"""LM scoring: loss under a target and a background n-gram model over one vocabulary, compared per token."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+from pyspark.sql import DataFrame, functions as F
+
+from runhealth.llm.common import encoded, map_rows
+
+# Tokens are UTF-8 bytes: both models share the vocabulary of 256, and trigrams number 2**24 at most.
+VOCABULARY = 256
+TRIGRAMS = VOCABULARY ** 3
+STRENGTH = 8.0
+CHUNK = 1 << 20
+
+
+def trigrams(data: bytes, before: bytes = b"\0\0") -> np.ndarray:
+    """A code for each byte with the two before it; two zero bytes stand before a text."""
+    b = np.frombuffer(before + data, np.uint8).astype(np.int32)
+    return (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
+
+
+def chunks(text: str | None) -> Iterator[np.ndarray]:
+    """Trigrams of a text, in parts of bounded size."""
+    data = encoded(text)
+    for at in range(0, len(data), CHUNK):
+        yield trigrams(data[at:at + CHUNK], (b"\0\0" + data[max(0, at - 2):at])[-2:])
+
+
+def losses(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Bits for each trigram of ``codes`` under the model that ``counts`` gives.
+
+    Each order is smoothed by the next lower one with ``STRENGTH`` counts; the lowest adds one to each byte.
+    """
+    context, pair, middle, last = codes >> 8, codes & 0xFFFF, (codes >> 8) & 0xFF, codes & 0xFF
+    counts = counts.astype(np.float64)
+    c1 = np.bincount(last, counts, VOCABULARY)
+    c2 = np.bincount(pair, counts, VOCABULARY ** 2)
+    h1 = np.bincount(middle, counts, VOCABULARY)
+    h2 = np.bincount(context, counts, VOCABULARY ** 2)
+    p1 = (c1[last] + 1) / (c1.sum() + VOCABULARY)
+    p2 = (c2[pair] + STRENGTH * p1) / (h1[middle] + STRENGTH)
+    p3 = (counts + STRENGTH * p2) / (h2[context] + STRENGTH)
+    return -np.log2(p3)
+
+
+def trigram_counts(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """(code, background, target): how often each trigram is in all documents, and in those of ``targets``.
+
+    Every task counts its own rows into arrays of bounded size and hands on what it has seen.
+    """
+    marked = docs.select(F.col("doc_id").cast("long"), "text").join(
+        targets.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
+        .withColumn("target", F.lit(True)), "doc_id", "left").select("text", "target")
+
+    def count(stream: Iterator[dict]) -> Iterator[tuple]:
+        every, target = np.zeros(TRIGRAMS, np.int64), np.zeros(TRIGRAMS, np.int64)
+        for row in stream:
+            for codes in chunks(row["text"]):
+                np.add.at(every, codes, 1)
+                if row["target"]:
+                    np.add.at(target, codes, 1)
+        seen = np.flatnonzero(every)
+        yield from zip(seen.tolist(), every[seen].tolist(), target[seen].tolist())
+
+    return map_rows(marked, "code long, background long, target long", count, flush=1 << 16) \
+        .groupBy("code").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+
+
+def score_documents(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score) for every row of ``docs`` (doc_id, text).
+
+    ``targets`` (doc_id) names the documents the target model is made from; the background model is
+    made from all. Both are byte trigram models, smoothed alike. Losses are bits per token; score
+    is target minus background loss, so lower is nearer to the target. The model holds one row per
+    trigram, 2**24 at most, and goes to the tasks with the job. Null or empty text has no tokens
+    and null losses and score; without targets their model is uniform. Rows with a null doc_id are
+    counted and scored and are never targets. Repeated rows count each time. Other columns are ignored.
+    """
+    model = trigram_counts(docs, targets).toPandas()
+    codes = model["code"].to_numpy(np.int64)
+    table = np.stack([losses(codes, model["target"].to_numpy(np.int64)),
+                      losses(codes, model["background"].to_numpy(np.int64))], axis=1).astype(np.float32)
+    shared = docs.sparkSession.sparkContext.broadcast((codes.astype(np.int32), table))
+
+    def score(stream: Iterator[dict]) -> Iterator[tuple]:
+        codes, table = shared.value
+        place = np.zeros(TRIGRAMS, np.int32)
+        place[codes] = np.arange(len(codes), dtype=np.int32)
+        for row in stream:
+            n, total = 0, np.zeros(2)
+            for part in chunks(row["text"]):
+                n += len(part)
+                total += table[place[part]].sum(axis=0, dtype=np.float64)
+            target, background = (total / n).tolist() if n else (None, None)
+            yield row["doc_id"], n, target, background, target - background if n else None
+
+    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"),
+                    "doc_id long, n_tokens long, target_loss double, background_loss double, score double", score)
