@@ -1,5 +1,118 @@
-"""DuckDB statements for the operators that SQL can express."""
+"""DuckDB statements for the operators that SQL can express, written from their contracts."""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+# Part of a URL after the first "://", up to its end; empty without one.
+_REST = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
+_HOST = (f"translate(regexp_extract({_REST}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+         "'abcdefghijklmnopqrstuvwxyz')")
+
+OP1 = f"""
+WITH parts AS (
+  SELECT page_id, coalesce({_HOST}, '') AS host,
+         coalesce(regexp_extract({_REST}, '^[^/?#]*([^?#]*)', 1), '') AS path,
+         coalesce(regexp_extract({_REST}, '^[^?#]*\\?([^#]*)', 1), '') AS query
+  FROM pages),
+named AS (
+  SELECT page_id, host, path,
+         regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '')
+         || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical
+  FROM (SELECT *, list_sort(list_filter(string_split(query, '&'), lambda p: p <> ''
+               AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)'))) AS params FROM parts)),
+rules(r_host, r_path, r_verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+  ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+best AS (
+  SELECT page_id, host, path, canonical, max_by(r_host || r_path, length(r_host || r_path)) AS rule,
+         max_by(r_verdict, length(r_host || r_path)) AS decided
+  FROM named LEFT JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+  GROUP BY page_id, host, path, canonical),
+listed AS (SELECT DISTINCT canonical AS entry FROM named WHERE regexp_matches(host, 'spam|pills'))
+SELECT page_id, host, path, rule,
+       coalesce(decided, CASE WHEN entry IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, canonical,
+       rule IS NULL AND entry IS NOT NULL AS listed
+FROM best LEFT JOIN listed ON entry = canonical
+"""
+
+OP5 = """
+WITH sound AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL)) = 0
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+  GROUP BY vec_id),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM sound q JOIN sound c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
+OP9 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'),
+                   (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
+sized AS (
+  SELECT *, length('<|im_start|>') + length('<|im_end|>') + 2 + length(role) + length(text)
+         + len(regexp_extract_all(text, '<\\*\|(im_start|im_end)\|>')) AS shown
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(shown)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+_SYMBOLS = "len(regexp_extract_all({0}, '[#*$%&|<>]'))"
+_WORDS = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
+_WORD_CHARS = "length(regexp_replace({0}, '[\\x20\\x09-\\x0D]+', '', 'g'))"
+_BYTES = "strlen(regexp_replace({0}, '[\\x20\\x09-\\x0D]+', '', 'g'))"
+_STOCK = (
+    "all rights reserved|accept (all )?cookies|uses? cookies|cookie policy|privacy policy|terms of (use|service)"
+    "|enable javascript|javascript is (required|disabled)|subscribe to our newsletter|click here|read more$"
+    "|share (this )?on (facebook|twitter)|lorem ipsum|log ?in or register|skip to content")
+
+OP6 = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+measured AS (
+  SELECT row, doc_id, text, {_WORDS.format('text')} AS words, string_split(text, chr(10)) AS lines FROM docs),
+grams AS (
+  SELECT row, i, list_slice(words, i, i + 4) AS gram, count(*) OVER (PARTITION BY row, list_slice(words, i, i + 4)) AS n
+  FROM (SELECT row, words, unnest(range(1, len(words) - 3)) AS i FROM measured)),
+repeated AS (
+  SELECT row, count(DISTINCT place) AS n_repeat_words
+  FROM (SELECT row, unnest(range(i, i + 5)) AS place FROM grams WHERE n > 1) GROUP BY row),
+line_rows AS (
+  SELECT row, line, {_WORDS.format('line')} AS words, {_SYMBOLS.format('line')} AS symbols, {_BYTES.format('line')} AS bytes
+  FROM (SELECT row, unnest(lines) AS line FROM measured)),
+judged AS (
+  SELECT row, line, words, bytes, len(words) > 0 AND (
+    (len(list_filter(words, lambda w: w IN ('|', '>', '»', '›', '·', '•'))) >= 2
+     AND len(list_filter(words, lambda w: w IN ('|', '>', '»', '›', '·', '•'))) >= 0.15::DOUBLE * len(words))
+    OR NOT regexp_matches(line, '[\\pL\\pN]') OR symbols > 0.08::DOUBLE * bytes
+    OR (len(words) <= 25 AND regexp_matches(line, '{_STOCK}', 'i'))) AS fails
+  FROM line_rows),
+per_doc AS (
+  SELECT row, count(*) FILTER (fails) AS n_failed_lines, coalesce(sum(bytes) FILTER (fails), 0) AS lost, sum(bytes) AS total,
+         count(*) FILTER (len(words) > 0) - count(DISTINCT line) FILTER (len(words) > 0) AS n_dup_lines
+  FROM judged GROUP BY row),
+based AS (
+  SELECT doc_id, len(words) AS n_words, {_WORD_CHARS.format('text')} AS word_chars, {_SYMBOLS.format('text')} AS n_symbols,
+         n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, lost, total, n_failed_lines
+  FROM measured JOIN per_doc USING (row) LEFT JOIN repeated USING (row))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost <= 0.4::DOUBLE * total AS kept,
+       n_failed_lines::BIGINT AS n_failed_lines
+FROM based
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_url_filters": OP1,
+    "op5_exact_top_k": OP5,
+    "op6_quality_rules": OP6,
+    "op9_chat_formatting": OP9,
+}

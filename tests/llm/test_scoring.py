@@ -1,0 +1,78 @@
+from __future__ import annotations
+
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from runhealth.llm import scoring
+
+
+def brute_model(texts):
+    c1, c2, c3, h1, h2 = Counter(), Counter(), Counter(), Counter(), Counter()
+    for t in texts:
+        b = b"\0\0" + (t or "").encode()
+        for i in range(2, len(b)):
+            c1[b[i]] += 1
+            c2[b[i - 1:i + 1]] += 1
+            c3[b[i - 2:i + 1]] += 1
+            h1[b[i - 1]] += 1
+            h2[b[i - 2:i]] += 1
+    n = sum(c1.values())
+
+    def bits(text):
+        b, total = b"\0\0" + text.encode(), 0.0
+        for i in range(2, len(b)):
+            p1 = (c1[b[i]] + 1) / (n + 256)
+            p2 = (c2[b[i - 1:i + 1]] + 8 * p1) / (h1[b[i - 1]] + 8)
+            p3 = (c3[b[i - 2:i + 1]] + 8 * p2) / (h2[b[i - 2:i]] + 8)
+            total -= math.log2(p3)
+        return total / (len(b) - 2)
+
+    return bits
+
+
+def test_equals_brute_force(spark, edge_docs, edge_rows, monkeypatch):
+    monkeypatch.setattr(scoring, "CHUNK", 1000)
+    targets = {0, 7, 60, 50}
+    frame = spark.createDataFrame([(i, 1) for i in [*targets, 0, None, 999]], "doc_id long, quality int")
+    got = sorted((tuple(r) for r in scoring.score_documents(edge_docs, frame).collect()), key=repr)
+    target = brute_model([t for d, t, *_ in edge_rows if d in targets])
+    every = brute_model([t for _, t, *_ in edge_rows])
+    want = sorted(((d, len((t or "").encode()), target(t) if t else None, every(t) if t else None,
+                    target(t) - every(t) if t else None) for d, t, *_ in edge_rows), key=repr)
+    assert len(got) == len(want)
+    key = lambda r: (str(r[0]), r[1], -1 if r[2] is None else round(r[2], 3))
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key)):
+        assert a[:2] == b[:2] and all((x is None and y is None) or x == pytest.approx(y, abs=1e-4) for x, y in zip(a[2:], b[2:]))
+
+
+def test_no_targets_and_no_documents(spark, edge_docs, no_docs):
+    nobody = spark.createDataFrame([], "doc_id long")
+    r = scoring.score_documents(edge_docs, nobody).where("n_tokens > 0").first()
+    assert r["target_loss"] == pytest.approx(8.0, abs=1e-4)
+    assert scoring.score_documents(no_docs, nobody).count() == 0
+
+
+def test_held_out_quality(spark, small):
+    """A model of half the good documents ranks the other half above the poor ones."""
+    path = small.replace("0.001", "0.1")
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    scores = {r["doc_id"]: r["score"] for r in scoring.score_documents(docs, labels.where("quality = 1 and doc_id % 2 = 0")).collect()}
+    held = [(scores[r["doc_id"]], r["quality"]) for r in labels.where("doc_id % 2 = 1").collect() if scores[r["doc_id"]] is not None]
+    order = np.argsort([s for s, _ in held])
+    rank = np.empty(len(held))
+    rank[order] = np.arange(len(held))
+    good = np.array([q == 1 for _, q in held])
+    auc = 1 - (rank[good].sum() - good.sum() * (good.sum() - 1) / 2) / (good.sum() * (~good).sum())
+    assert auc > 0.9
+
+
+def test_long_texts_score_in_parts(spark):
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcé ") for _ in range(5000))
+    codes = np.concatenate(list(scoring.chunks(text)))
+    data = b"\0\0" + text.encode()
+    assert codes.tolist() == [data[i] << 16 | data[i + 1] << 8 | data[i + 2] for i in range(len(data) - 2)]
