@@ -6,6 +6,7 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -13,14 +14,16 @@ from runhealth.llm.common import map_rows
 
 END_ID = struct.pack("<I", 0)
 # A space between two characters that no library counts as white space always starts a new
-# pre-token, so the text on each side of it encodes alone.
+# pre-token, so the text on each side of it encodes alone. A single line end between two such
+# characters is a pre-token of its own.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-MAX_CACHED = 400_000
+LINE_END = 198
+MAX_CACHED = 1_000_000
 MAX_CACHED_CHARS = 64
 
 
 class Encoder:
-    """Ids as little-endian 32-bit bytes, with a bounded cache of space-led words."""
+    """Ids as little-endian 32-bit bytes, with a bounded cache of words between spaces."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -29,22 +32,48 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _new(self, words: list[str]) -> list[bytes]:
+        """Space-led words whose every line begins and ends with no white space, encoded as lines of one text."""
+        ids = self._ids(" " + "\n ".join(words) + "\n")
+        data, ends = ids.tobytes(), (4 * np.flatnonzero(ids == LINE_END)).tolist()
+        out, begin, line = [], 0, 0
+        for word in words:
+            line += word.count("\n")
+            out.append(data[begin:ends[line]])
+            begin = ends[line] + 4
+            line += 1
+        return out
 
     def encode(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
+        ids = list(map(self.cache.get, rest))
+        if None in ids or not first or first[-1].isspace():
+            missing = [w for w, i in zip(rest, ids) if i is None]
+            if not first or first[-1].isspace() or any(not w or w[0].isspace() or w[-1].isspace() for w in missing):
+                return self._cut(text)
+            ids = self._filled(rest, ids, missing)
+        return self._ids(first).tobytes() + b"".join(ids)
+
+    def _cut(self, text: str) -> bytes:
+        """For spaces beside white space: cut only where it is safe to."""
         first, *rest = CUT.split(text)
-        cache = self.cache
-        missing = [w for w in dict.fromkeys(rest) if w not in cache]
-        new = dict(zip(missing, self._encode([" " + w for w in missing])))
-        if len(cache) + len(new) > MAX_CACHED:
-            new = {w: cache.get(w) or new[w] for w in dict.fromkeys(rest)}
-            cache.clear()
-        ids = [*self._encode([first]), *[new[w] if w in new else cache[w] for w in rest]] if new \
-            else [*self._encode([first]), *map(cache.__getitem__, rest)]
-        cache.update((w, ids_) for w, ids_ in new.items() if len(w) <= MAX_CACHED_CHARS)
-        return b"".join(ids)
+        ids = list(map(self.cache.get, rest))
+        return self._ids(first).tobytes() + b"".join(self._filled(rest, ids, [w for w, i in zip(rest, ids) if i is None]))
+
+    def _filled(self, words: list[str], ids: list[bytes | None], missing: list[str]) -> list[bytes]:
+        known: dict[str, bytes] = dict.fromkeys(missing)
+        plain = [w for w in known if "\n" not in w or all(x and not x[0].isspace() and not x[-1].isspace() for x in w.split("\n"))]
+        if plain:
+            known.update(zip(plain, self._new(plain)))
+        for word in [w for w, i in known.items() if i is None]:
+            known[word] = self._ids(" " + word).tobytes()
+        if len(self.cache) + len(known) > MAX_CACHED:
+            self.cache.clear()
+        self.cache.update((w, i) for w, i in known.items() if len(w) <= MAX_CACHED_CHARS)
+        return [known[w] if i is None else i for w, i in zip(words, ids)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
