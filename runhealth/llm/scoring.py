@@ -14,6 +14,8 @@ VOCABULARY = 256
 TRIGRAMS = VOCABULARY ** 3
 STRENGTH = 8.0
 CHUNK = 1 << 20
+# Up to this many target ids, about 50 MB, are sent to the tasks; more are joined by shuffle.
+BROADCAST_IDS = 1 << 21
 
 
 def trigrams(data: bytes, before: bytes = b"\0\0") -> np.ndarray:
@@ -51,9 +53,10 @@ def trigram_counts(docs: DataFrame, targets: DataFrame) -> DataFrame:
 
     Every task counts its own rows into arrays of bounded size and hands on what it has seen.
     """
-    marked = docs.select(F.col("doc_id").cast("long"), "text").join(
-        targets.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
-        .withColumn("target", F.lit(True)), "doc_id", "left").select("text", "target")
+    ids = targets.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct() \
+        .withColumn("target", F.lit(True))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    marked = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left").select("text", "target")
 
     def count(stream: Iterator[dict]) -> Iterator[tuple]:
         every, target = np.zeros(TRIGRAMS, np.int64), np.zeros(TRIGRAMS, np.int64)
