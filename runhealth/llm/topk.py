@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 BLOCK_ROWS = 8192
 QUERY_ROWS = 4096
-LEVELS = 8
-RESCORE = 64
+LEVELS = 16
+# Possible members that are rescored at once rather than narrowed down further.
+RESCORE = 1024
+SEEN_BITS = 48
+SEEN = 1 << SEEN_BITS
 
 
 class ImpactIndex:
@@ -35,7 +38,7 @@ class ImpactIndex:
             for k in range(LEVELS):
                 if cuts[k] < cuts[k + 1]:
                     values = self.vectors[rows[cuts[k]:cuts[k + 1]], j]
-                    self.segments.append(rows[cuts[k]:cuts[k + 1]].astype(np.int32))
+                    self.segments.append(rows[cuts[k]:cuts[k + 1]])
                     at.append(j)
                     floor.append(values.min())
                     top.append(values.max())
@@ -52,27 +55,26 @@ class ImpactIndex:
         if n_others <= k:
             rows = np.flatnonzero(others)
             return self._best(rows, query, k)
-        # Most that the segments from each place on can still add: one open segment per component.
-        at, impact = self.at[order], impact[order]
+        # Each step adds a segment's impact to its rows, and SEEN to count the components done.
+        impact = impact[order].tolist()
         done = np.zeros(len(self.ids), dtype=np.int64)
-        checks = {len(order) * share // 16 for share in range(4, 16)}
-        for place, (segment, gain) in enumerate(zip(order, impact.tolist())):
+        checks = {len(order) * share // 32 for share in range(18, 32, 2)}
+        for place, (segment, gain) in enumerate(zip(order.tolist(), impact)):
             if place in checks:
-                left = np.zeros(len(query), dtype=np.int64)
-                np.maximum.at(left, at[place:], impact[place:])
-                rows = self._candidates(done, others, query, k, int(left.sum()) + int(base.sum()))
+                rows = self._candidates(done, others, query, k, gain, int(base.sum()))
                 if len(rows) <= RESCORE:
                     return self._best(rows, query, k)
-            if gain:
-                done[self.segments[segment]] += gain
-        return self._best(self._candidates(done, others, query, k, int(base.sum())), query, k)
-
-    def _candidates(self, done: np.ndarray, others: np.ndarray, query: np.ndarray, k: int, rest: int) -> np.ndarray:
-        """Rows that may be members: their bound reaches the k-th best exact score of the rows leading now."""
-        leading = np.where(others, done, -1)
+            done[self.segments[segment]] += SEEN + gain
+        return self._best(self._candidates(done, others, query, k, 0, int(base.sum())), query, k)
+
+    def _candidates(self, done: np.ndarray, others: np.ndarray, query: np.ndarray, k: int, rest: int, base: int) -> np.ndarray:
+        """Rows that may be members: what they have and ``rest`` for each open component reaches the k-th best
+        exact score among the rows that lead now. No open segment adds more than ``rest``."""
+        bound = (done & (SEEN - 1)) + (len(query) - (done >> SEEN_BITS)) * rest + base
+        leading = np.where(others, bound, np.iinfo(np.int64).min)
         lead = np.argpartition(leading, -k)[-k:]
         bar = np.sort(self.vectors[lead] @ query)[0]
-        return np.flatnonzero(others & (done + rest >= bar))
+        return np.flatnonzero(others & (bound >= bar))
 
     def _best(self, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         scores = self.vectors[rows] @ query
@@ -106,8 +108,8 @@ def top_k(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     ``embeddings`` has vec_id and embedding; other columns are ignored. Rows are dealt by a hash
     of their id to blocks of about ``BLOCK_ROWS``, queries to blocks of ``QUERY_ROWS``; each pair of
     blocks is one task group, indexed there, and hands on its k best. Ties go to the smaller id; a
-    query with fewer than k other rows gets all of them. Components hold integers below 2**24 in
-    size. An empty table gives no rows. The number of blocks takes one counting job.
+    query with fewer than k other rows gets all of them. Quantised components are below 2**20
+    in size and number less than 2**8. An empty table gives no rows. The number of blocks takes one counting job.
     """
     vectors = quantised(embeddings)
     n = vectors.count()
