@@ -64,11 +64,12 @@ DETAILS = {
     UNKNOWN: "The logs hold no known error signature.",
 }
 EMPTY_DETAILS = "The run left no log text to read."
+# The library's own query to look at next, by issue type.
 ADVICE = {
-    MEMORY: ["Raise executor memory", "Look for wide joins or skewed keys"],
-    DISK: ["Raise local disk", "Clear temporary files"],
-    DEPENDENCY: ["Install the missing packages", "Pin package versions"],
-    UNKNOWN: ["Read the logs by hand", "Ask the platform team"],
+    MEMORY: ["data_skew on the join and grouping keys"],
+    DISK: ["resource_utilisation of the run's cluster"],
+    DEPENDENCY: ["missing_packages of the run's log"],
+    UNKNOWN: ["tag_signatures with patterns of your own"],
 }
 
 

@@ -27,12 +27,14 @@ PERMISSIONS = {
 MINUTES = {MEMORY: "5-10 minutes", DISK: "5-10 minutes", DEPENDENCY: "10-15 minutes", UNKNOWN: "5-7 minutes"}
 DEFAULT_WORKERS = 1
 DEFAULT_INCREMENT = "50%"
+DISK_INCREMENT = "100%"
 
+# What a remedy changes and touches, in the library's own short form: target / side effect.
 IMPACT = {
-    MEMORY: "The cluster will use more resources and the run should finish.",
-    DISK: "Larger temporary and shuffle files will fit.",
-    DEPENDENCY: "The packages the run needs will be present.",
-    UNKNOWN: "Every job running on the cluster will stop.",
+    MEMORY: "workers + / cost +",
+    DISK: "disk + / cost +",
+    DEPENDENCY: "libraries + / start-up time +",
+    UNKNOWN: "all jobs on the cluster - / start-up once",
 }
 
 
@@ -45,7 +47,7 @@ def suggest_fix(issue_type: Column, stderr: Column) -> Column:
     parameters = by_issue(issue_type, {
         MEMORY: F.create_map(F.lit("memory_increment"), increment, F.lit("driver_memory"), F.lit("True"),
                              F.lit("executor_memory"), F.lit("True")),
-        DISK: F.create_map(F.lit("disk_increment"), F.lit("100%"), F.lit("local_disk"), F.lit("True")),
+        DISK: F.create_map(F.lit("disk_increment"), F.lit(DISK_INCREMENT), F.lit("local_disk"), F.lit("True")),
         DEPENDENCY: F.create_map(
             F.lit("install_method"), F.when(named, F.lit("cluster_libs")).otherwise(F.lit("init_script"))),
         UNKNOWN: F.create_map(F.lit("terminate_running_jobs"), F.lit("False")),
@@ -61,11 +63,11 @@ def suggest_fix(issue_type: Column, stderr: Column) -> Column:
             UNKNOWN: F.lit(BASE_CONFIDENCE[UNKNOWN]),
         }).alias("fix_confidence"),
         by_issue(issue_type, {
-            MEMORY: F.concat(F.lit("Give the cluster "), increment, F.lit(" more memory.")),
-            DISK: F.lit("Double the disk of the cluster's nodes."),
-            DEPENDENCY: F.when(named, F.concat(F.lit("Install missing packages: "), F.array_join(packages, ", "), F.lit(".")))
-            .otherwise(F.lit("Install the missing packages from a start-up script.")),
-            UNKNOWN: F.lit("Restart the cluster to clear passing faults."),
+            MEMORY: F.concat(F.lit("memory x "), percent_factor(increment).cast("string")),
+            DISK: F.concat(F.lit("disk x "), percent_factor(F.lit(DISK_INCREMENT)).cast("string")),
+            DEPENDENCY: F.when(named, F.concat(F.lit("packages: "), F.array_join(packages, ", ")))
+            .otherwise(F.lit("packages: not named in the log")),
+            UNKNOWN: F.lit("restart"),
         }).alias("description"),
         by_issue(issue_type, {k: lit_array(v) for k, v in PERMISSIONS.items()}).alias("required_permissions"),
         by_issue(issue_type, {k: F.lit(v) for k, v in IMPACT.items()}).alias("expected_impact"),
@@ -88,13 +90,13 @@ def with_suggestion(diagnosed: DataFrame) -> DataFrame:
     )
 
 
-def infer_fix_type(fix_type: Column, parameters: Column) -> Column:
-    """The fix type, or the one its parameters imply."""
+def infer_fix_type(fix_type: Column, parameters: Column, packages: Column) -> Column:
+    """The fix type, or the one its parameters and packages imply."""
     return F.coalesce(
         fix_type,
         F.when(F.map_contains_key(parameters, "memory_increment"), F.lit("increase_memory"))
         .when(F.map_contains_key(parameters, "disk_increment"), F.lit("increase_disk_space"))
-        .when(F.map_contains_key(parameters, "packages"), F.lit("install_dependencies")),
+        .when(F.map_contains_key(parameters, "install_method") | (F.size(packages) > 0), F.lit("install_dependencies")),
     )
 
 

@@ -5,33 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from runhealth.functions.diagnosis import DEPENDENCY, DISK, MEMORY, UNKNOWN, by_issue
-from runhealth.functions.text import lit_array, percent_text, plain_words
+from runhealth.functions.text import lit_array, percent_text, plain_words, rendered_map
 
 # Band limits in per cent.
 HIGH, MODERATE = 80, 50
 
-ROOT_CAUSE = {
-    MEMORY: "The run asked for more memory than its cluster has, most often in a join or aggregation with many distinct keys.",
-    DISK: "The nodes ran out of local disk while shuffle or temporary files were written.",
-    DEPENDENCY: "Code in the run needs a package that is absent from the cluster or has the wrong version.",
-    UNKNOWN: "The run stopped on an error that matches no known pattern; resources or settings are the likely place to look.",
-}
-OUTCOME = {
-    MEMORY: "The larger memory fits the data the job handles.",
-    DISK: "Shuffle and temporary files now fit on the nodes.",
-    DEPENDENCY: "The packages the job imports are now present.",
-    UNKNOWN: "The job ran cleanly after the change.",
-}
-NOT_RESOLVED = "The fix did not help. A data engineer should look at this job."
+# Which resource an issue type is about, and which of the library's tables to read on.
+ROOT_CAUSE = {MEMORY: "memory", DISK: "local disk", DEPENDENCY: "installed packages", UNKNOWN: "not classified"}
+OUTCOME = {MEMORY: "memory raised", DISK: "disk raised", DEPENDENCY: "packages installed", UNKNOWN: "cluster restarted"}
+NOT_RESOLVED = "No later run of this job has succeeded."
 RECOMMENDATIONS = {
-    MEMORY: ["Review joins and aggregations", "Alert on memory use", "Tune the memory settings", "Split the data into smaller parts"],
-    DISK: ["Alert on disk use", "Store data in columnar files", "Tune the shuffle partitions", "Clear temporary files on a schedule"],
-    DEPENDENCY: ["Install packages from one start-up script", "Keep a list of required packages", "Pin package versions", "Test the environment before release"],
-    UNKNOWN: ["Review job performance regularly", "Alert on failures early", "Plan resources by workload", "Log more detail"],
+    MEMORY: ["See data_skew for the job's keys", "See fix_effectiveness for increase_memory"],
+    DISK: ["See resource_utilisation for the disk"],
+    DEPENDENCY: ["See missing_packages for the names"],
+    UNKNOWN: ["See state_transitions for the last step", "See previous_issue for a pattern"],
 }
-HEADLINE_OK = "Fix successful"
-HEADLINE_FAILED = "Issue not resolved: please call a data engineer"
-FIX_NOTE_RESTART = "Restarted the cluster."
+HEADLINE_OK = "Resolved"
+HEADLINE_FAILED = "Open"
 
 
 def confidence_band(confidence: Column) -> Column:
@@ -49,21 +39,14 @@ def confidence_text(confidence: Column) -> Column:
 
 
 def fix_note(fix_type: Column, parameters: Column, packages: Column) -> Column:
-    """What was changed, in one sentence; null for an unknown fix type."""
-    def value(key: str) -> Column:
-        return F.coalesce(F.try_element_at(parameters, F.lit(key)), F.lit("unknown"))
-    return (
-        F.when(fix_type == "increase_memory", F.concat(F.lit("Added "), value("memory_increment"), F.lit(" memory.")))
-        .when(fix_type == "increase_disk_space", F.concat(F.lit("Added "), value("disk_increment"), F.lit(" disk.")))
-        .when((fix_type == "install_dependencies") & (F.size(packages) > 0),
-              F.concat(F.lit("Installed "), F.array_join(packages, ", "), F.lit(".")))
-        .when(fix_type == "install_dependencies", F.lit("Installed the required packages."))
-        .when(fix_type == "restart_cluster", F.lit(FIX_NOTE_RESTART))
-    )
+    """What was changed: the fix type with its parameters, and packages if there are any."""
+    named = F.when(F.size(packages) > 0, F.concat(F.lit("packages="), F.array_join(packages, "+")))
+    given = F.concat_ws(",", rendered_map(parameters), named)
+    return F.concat(fix_type, F.lit("("), given, F.lit(")"))
 
 
 def guidance(issue_type: Column) -> tuple[Column, Column, Column]:
-    """Root cause, outcome sentence and four recommendations for an issue type."""
+    """Resource, outcome and further reading for an issue type."""
     return (
         by_issue(issue_type, {k: F.lit(v) for k, v in ROOT_CAUSE.items()}),
         by_issue(issue_type, {k: F.lit(v) for k, v in OUTCOME.items()}),
@@ -106,11 +89,10 @@ def render_report(df: DataFrame, at: str = "start_ts") -> DataFrame:
             "confidence_band": confidence_band(F.col("confidence")),
             "confidence_note": confidence_text(F.col("confidence")),
             "situation": F.concat(
-                F.lit("Job **"), F.col("job_id").cast("string"), F.lit("** met a **"),
-                plain_words(F.col("issue_type")), F.lit("** issue at "),
-                F.date_format(F.col(at), "yyyy-MM-dd HH:mm:ss"), F.lit(".")),
+                F.lit("job "), F.col("job_id").cast("string"), F.lit(", "), plain_words(F.col("issue_type")), F.lit(", "),
+                F.date_format(F.col(at), "yyyy-MM-dd HH:mm:ss")),
             "root_cause": cause,
-            "resolution": F.when(fixed, F.concat_ws(" ", note, outcome)).otherwise(F.lit(NOT_RESOLVED)),
+            "resolution": F.when(fixed, F.concat_ws(": ", outcome, note)).otherwise(F.lit(NOT_RESOLVED)),
             "recommendations": recommendations,
         })
         .withColumn("report", F.concat(

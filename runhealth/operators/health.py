@@ -24,7 +24,8 @@ def workspace_status(clusters: DataFrame, objects: DataFrame) -> DataFrame:
 
 
 def success_rate(total: Column, failed: Column) -> Column:
-    return F.round((total - failed) * 100.0 / total, 1)
+    """Per cent; null over no runs."""
+    return F.round(F.try_divide((total - failed) * 100.0, total), 1)
 
 
 def _job_counts() -> list[Column]:
@@ -44,10 +45,13 @@ def cluster_health(clusters: DataFrame, by: list[str] | None = None) -> DataFram
 
 
 def health_rollup(runs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Run health by cluster state, by cluster, and overall, in one aggregation."""
-    placed = runs.select("cluster_id", "status").join(
+    """Run health by cluster state, cluster and job, and overall, in one aggregation.
+
+    ``level`` is 0 for a job's row, 1 for a cluster's, 3 for a cluster state's and 7 overall.
+    """
+    placed = runs.select("cluster_id", "job_id", "status").join(
         clusters.select("cluster_id", F.col("state").alias("cluster_state")), "cluster_id", "left")
-    return placed.rollup("cluster_state", "cluster_id").agg(
+    return placed.rollup("cluster_state", "cluster_id", "job_id").agg(
         F.grouping_id().cast("int").alias("level"), *_job_counts())
 
 

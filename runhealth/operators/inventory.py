@@ -90,7 +90,7 @@ def cluster_events(events: DataFrame, cluster_id=None, start=None, end=None, lim
         kept = kept.where(F.col("ts") >= F.lit(start))
     if end is not None:
         kept = kept.where(F.col("ts") <= F.lit(end))
-    return kept if limit is None else kept.orderBy("ts").limit(limit)
+    return kept if limit is None else kept.orderBy("ts", "cluster_id", "type", "details").limit(limit)
 
 
 def level_at_least(logs: DataFrame, threshold: str = "info") -> DataFrame:

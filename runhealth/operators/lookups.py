@@ -38,17 +38,18 @@ def resolve_request(requests: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def fetch_status(requests: DataFrame, runs: DataFrame) -> DataFrame:
-    """A row per request with ``run_id``; a run that cannot be read has status ERROR."""
-    known = runs.select("run_id", F.col("status").alias("_status"), "duration_seconds")
+def fetch_status(requests: DataFrame, runs: DataFrame, logs: DataFrame) -> DataFrame:
+    """A row per request with ``run_id``: the run's status and logs; a run that cannot be read has status ERROR."""
+    known = runs.select("run_id", F.col("status").alias("_status"), "duration_seconds") \
+        .join(logs.select("run_id", "stdout", "stderr"), "run_id", "left")
     miss = F.col("_status").isNull()
     return requests.join(known, "run_id", "left").select(
         *requests.columns,
         F.coalesce("_status", F.lit("ERROR")).alias("status"),
         F.coalesce("duration_seconds", F.lit(0)).alias("duration_seconds"),
-        F.when(miss, F.lit("")).alias("stdout"),
-        F.when(miss, F.concat(F.lit("Error retrieving logs: run "),
-                              or_default(F.col("run_id").cast("string"), "?"), F.lit(" not found"))).alias("stderr"),
+        F.when(miss, F.lit("")).otherwise(F.col("stdout")).alias("stdout"),
+        F.when(miss, F.concat(F.lit("run "), or_default(F.col("run_id").cast("string"), "?"), F.lit(" not found")))
+        .otherwise(F.col("stderr")).alias("stderr"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from runhealth.functions.guards import redact
+from runhealth.functions.text import mb_to_gb
 from runhealth.operators.inventory import running_only
 
 # Fixed value: a key with more than this many times the average is skew.
@@ -47,10 +48,16 @@ def top_keys(df: DataFrame, column: str, k: int = 10) -> DataFrame:
 def resource_utilisation(metrics: DataFrame, clusters: DataFrame) -> DataFrame:
     """Driver and worker use per running cluster, one column set per resource.
 
-    ``metrics`` is long form: ``cluster_id node_role resource used total``.
-    Clusters that do not run keep a row that says so.
+    ``metrics`` is long form: ``cluster_id node_role node_id resource sampled_ts used total``,
+    memory and disk in MB. The newest sample of each node and resource counts, of equal times the
+    larger. A resource whose total is zero has no percentage. Clusters that do not run keep a
+    row that says so.
     """
-    pct = F.col("used") * 100.0 / F.col("total")
+    sample = F.struct("used", "total")
+    metrics = metrics.groupBy("cluster_id", "node_role", "node_id", "resource").agg(
+        F.max_by(sample, F.struct("sampled_ts", "used", "total")).alias("_newest")
+    ).select("cluster_id", "node_role", "resource", "_newest.*")
+    pct = F.try_divide(F.col("used") * 100.0, F.col("total"))
     aggs = []
     for r in RESOURCES:
         here = F.col("resource") == r
@@ -59,12 +66,11 @@ def resource_utilisation(metrics: DataFrame, clusters: DataFrame) -> DataFrame:
             F.round(F.avg(F.when(driver, pct)), 4).alias(f"{r}_driver_avg_pct"),
             F.round(F.avg(F.when(worker, pct)), 4).alias(f"{r}_worker_avg_pct"),
             F.round(F.max(F.when(worker, pct)), 4).alias(f"{r}_worker_max_pct"),
-            F.round(F.sum(F.when(here, F.col("used"))), 4).alias(f"{r}_used"),
-            F.round(F.sum(F.when(here, F.col("total"))), 4).alias(f"{r}_total"),
         ]
-    names = [f"{r}_{s}" for r in RESOURCES
-             for s in ("driver_avg_pct", "worker_avg_pct", "worker_max_pct", "used", "total")]
+        if r != "cpu":
+            aggs += [F.round(mb_to_gb(F.sum(F.when(here, F.col(c)))), 4).alias(f"{r}_{c}_gb") for c in ("used", "total")]
     used = metrics.groupBy("cluster_id").agg(*aggs)
+    names = [c for c in used.columns if c != "cluster_id"]
     checked = running_only(clusters.select("cluster_id", "state").join(used, "cluster_id", "left"))
     return checked.withColumns({n: F.when(F.col("status") == "success", F.col(n)) for n in names})
 

@@ -7,11 +7,14 @@ on (key, bucket), the partitioning the window already has. The largest task
 holds one key's rows of one bucket; the summary is bucket-count sized.
 
 ``bucket`` must be a pure function of the row that never decreases along
-``order``. Rows whose key is null have no neighbours.
+``order``. Rows with a null key have no neighbours in :func:`nearest`; totals and
+numbers count a null key as a key.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _B = "_bucket"
@@ -22,7 +25,10 @@ def _sort_columns(order: list[str], descending: bool) -> list[Column]:
 
 
 def _attach(local: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
-    return local.join(carried, [*keys, _B], "left")
+    """Left join on keys and bucket in which null keys meet null keys."""
+    other = carried.select(*[F.col(c).alias(f"_right_{c}") for c in [*keys, _B]], "_carry")
+    same = [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in [*keys, _B]]
+    return local.join(other, same, "left").drop(*[f"_right_{c}" for c in [*keys, _B]])
 
 
 def nearest(df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: Column, name: str,
@@ -39,25 +45,23 @@ def nearest(df: DataFrame, keys: list[str], order: list[str], bucket: Column, va
     )
     local = bucketed.withColumn("_near", F.last("_value", ignorenulls=True).over(inside))
 
-    seen = bucketed.where(F.col("_value").isNotNull())
-    position = F.struct(*order)
+    # One row per bucket, those without a value included: they pass on what was carried past them.
+    position = F.when(F.col("_value").isNotNull(), F.struct(*order))
     edge = (F.max_by if backward else F.min_by)(F.col("_value"), position)
-    edges = seen.groupBy(*keys, _B).agg(edge.alias("_edge"))
-    # Buckets without a value still need what was carried past them.
-    buckets = bucketed.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("_rows"))
+    buckets = bucketed.groupBy(*keys, _B).agg(edge.alias("_edge"))
     across = (
         Window.partitionBy(*keys).orderBy(F.col(_B).asc() if backward else F.col(_B).desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = (
-        buckets.join(edges, [*keys, _B], "left")
-        .withColumn("_carry", F.last("_edge", ignorenulls=True).over(across))
+        buckets.withColumn("_carry", F.last("_edge", ignorenulls=True).over(across))
         .where(F.col("_carry").isNotNull())
         .select(*keys, _B, "_carry")
     )
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     return (
         _attach(local, carried, keys)
-        .withColumn(name, F.coalesce("_near", "_carry"))
+        .withColumn(name, F.when(known, F.coalesce("_near", "_carry")))
         .drop("_near", "_carry", "_value", _B)
     )
 

@@ -93,4 +93,4 @@ def fix_effectiveness(verified: DataFrame) -> DataFrame:
     won = F.count_if(F.col("outcome") == "success")
     return verified.groupBy("fix_type", "attempt").agg(
         F.count(F.lit(1)).alias("verified"), won.alias("successful"),
-        F.round(won * 100.0 / F.count(F.lit(1)), 4).alias("success_rate"))
+        F.round(F.try_divide(won * 100.0, F.count(F.lit(1))), 4).alias("success_rate"))

@@ -218,7 +218,7 @@ class Tables:
         return self.table("lineitem").select(
             F.col("l_suppkey").alias("cluster_id"),
             F.when(F.col("l_linenumber") == 1, "driver").otherwise("worker").alias("node_role"),
-            F.col("l_linenumber").alias("node_id"),
+            F.col("l_linenumber").alias("node_id"), F.col("l_shipdate").alias("sampled_ts"),
             F.when(F.col("l_returnflag") == "A", "cpu").when(F.col("l_returnflag") == "N", "memory")
             .otherwise("disk").alias("resource"),
             F.col("l_quantity").alias("used"), F.lit(50.0).alias("total"))

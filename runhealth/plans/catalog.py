@@ -19,6 +19,7 @@ _QUERIES: dict[str, Query] = {}
 
 # Order dates are whole days, so checks on them wait days, not minutes.
 DAY_SCALE_TIMEOUT = 200 * verify.DAY
+TABLE_SPAN = "36500 days"
 
 
 def query(fn: Query) -> Query:
@@ -115,8 +116,8 @@ def read_api_calls(t: Tables) -> DataFrame:
 
 @query
 def fetch_status(t: Tables) -> DataFrame:
-    asked = t.requests.where(F.col("run_id").isNotNull())
-    return lookups.fetch_status(asked, t.runs)
+    asked = lookups.resolve_request(t.requests, t.runs).select("job_id", F.col("resolved_run_id").alias("run_id"))
+    return lookups.fetch_status(asked, t.runs, t.run_logs)
 
 
 @query
@@ -563,10 +564,9 @@ def alias_failure_type(t: Tables) -> DataFrame:
 
 @query
 def message_text(t: Tables) -> DataFrame:
-    """The text of each run's first ten entries."""
-    first = history.head_logs(t.logs)
-    entries = first.groupBy("run_id").agg(
-        F.array_sort(F.collect_list(F.struct("position", "message"))).alias("entries"))
+    """The text of all of each run's entries, in the order of time."""
+    entries = t.logs.groupBy("run_id").agg(
+        F.array_sort(F.collect_list(F.struct("ts", "event_id", "message"))).alias("entries"))
     return entries.select("run_id", dx.message_text(F.col("entries")).alias("text"))
 
 
@@ -587,8 +587,8 @@ def suggest_fix(t: Tables) -> DataFrame:
 @query
 def infer_fix_type(t: Tables) -> DataFrame:
     return t.suggestions.select(
-        "run_id", remedy.infer_fix_type(F.lit(None).cast("string"), F.col("parameters")).alias("inferred"),
-        remedy.infer_fix_type(F.col("fix_type"), F.col("parameters")).alias("given"))
+        "run_id", remedy.infer_fix_type(F.lit(None).cast("string"), F.col("parameters"), F.col("packages")).alias("inferred"),
+        remedy.infer_fix_type(F.col("fix_type"), F.col("parameters"), F.col("packages")).alias("given"))
 
 
 @query
@@ -781,7 +781,8 @@ def diagnose_stream(t: Tables) -> DataFrame:
         F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("job_id"),
         t.run_status(F.col("o_orderstatus")).alias("status"), F.col("o_orderdate").cast("timestamp").alias("start_ts"),
         stdout.alias("stdout"), stderr.alias("stderr"))
-    live = follow.diagnose_stream(arriving).select("run_id", "job_id", "issue_type", "confidence", "fix_id", "fix_type",
+    # Order dates come in any order, so lateness covers the table's whole span.
+    live = follow.diagnose_stream(arriving, lateness=TABLE_SPAN).select("run_id", "job_id", "issue_type", "confidence", "fix_id", "fix_type",
                                                    "fix_confidence")
     return run_available(live, t.spark, "diagnose")
 
@@ -799,8 +800,10 @@ def verify_stream(t: Tables) -> DataFrame:
     live = _live_runs(t)
     fixes = live.where(F.col("status") == "FAILED").select(
         remedy.fix_id(F.col("run_id"), F.lit("live")).alias("fix_id"), "job_id", F.col("start_ts").alias("fix_ts"), "issue_type")
-    answers = verify_live.verify_stream(fixes, live, DAY_SCALE_TIMEOUT, "0 seconds")
-    return verify_live.settled(run_available(answers, t.spark, "verify"))
+    answers = verify_live.verify_stream(fixes, live, DAY_SCALE_TIMEOUT)
+    settled = verify_live.settled(run_available(answers, t.spark, "verify"))
+    asked = t.suggestions.select(remedy.fix_id(F.col("run_id"), F.lit("live")).alias("fix_id"), "job_id", "issue_type")
+    return verify_live.with_open(asked, settled)
 
 
 @query

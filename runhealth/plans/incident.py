@@ -38,17 +38,18 @@ def verified_fixes(runs: DataFrame, logs: DataFrame, timeout_seconds: int) -> Da
 
 def incident_response(runs: DataFrame, logs: DataFrame, clusters: DataFrame,
                       requests: DataFrame | None = None) -> DataFrame:
-    """One row per job (or request): its run, the diagnosis, a sized remedy and a report.
+    """One row per job (or request, found or not): its run, the diagnosis, a sized remedy and a report.
 
     Runs are narrowed to one per job before any log text is read in. Runs that
-    did not fail have no remedy. Nothing is applied, so a remedy waits for
-    approval.
+    did not fail have no remedy, and a request whose run is unknown has status ERROR. Nothing is
+    applied, so a remedy that can be applied and changes something waits for approval.
     """
     if requests is None:
         newest = latest_run(runs, RUN_COLUMNS)
     else:
-        asked = resolve_request(requests, runs).select(F.col("resolved_run_id").alias("run_id")).distinct()
-        newest = runs.select(*RUN_COLUMNS).join(asked, "run_id")
+        asked = resolve_request(requests, runs).select("job_id", F.col("resolved_run_id").alias("run_id"))
+        newest = asked.join(runs.select(*[c for c in RUN_COLUMNS if c != "job_id"]), "run_id", "left") \
+            .withColumn("status", F.coalesce("status", F.lit("ERROR")))
     failed = F.col("status") == "FAILED"
     suggested = with_suggestion(diagnose_run(newest.join(logs, "run_id", "left")))
     planned = plan_columns(with_cluster(suggested, clusters))
@@ -60,4 +61,4 @@ def incident_response(runs: DataFrame, logs: DataFrame, clusters: DataFrame,
                 "message", "target_workers", "payload", "is_noop", "reasoning", "report"]
     return out.select(
         "job_id", "run_id", "status", (failed & F.col("issue_detected")).alias("issue_detected"),
-        *[F.when(failed, F.col(c)).alias(c) for c in fix_only], failed.alias("pending_approval"))
+        *[F.when(failed, F.col(c)).alias(c) for c in fix_only], (failed & (F.col("plan_status") == "success") & ~F.col("is_noop")).alias("pending_approval"))

@@ -11,9 +11,9 @@ def write_fix_store(fixes: DataFrame, path: str) -> None:
 
 
 def latest_fix(store: DataFrame) -> DataFrame:
-    """The last version stored of each fix."""
+    """The last version stored of each fix; of equal times the one with the larger fields."""
     rest = [c for c in store.columns if c != "fix_id"]
-    return store.groupBy("fix_id").agg(F.max_by(F.struct(*rest), F.col("stored_ts")).alias("_fix")).select(
+    return store.groupBy("fix_id").agg(F.max_by(F.struct(*rest), F.struct("stored_ts", *rest)).alias("_fix")).select(
         "fix_id", "_fix.*")
 
 

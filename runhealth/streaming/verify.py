@@ -20,6 +20,7 @@ ROW = "kind int, id string, at bigint, deadline bigint, issue_type string, statu
 ANSWER = ("fix_id string, job_id string, fix_issue string, buckets int, next_run_id string, "
           "next_at bigint, next_status string, next_issue string")
 RUN, FIX = 0, 1
+WHOLE = {"kind", "at", "deadline", "buckets"}
 
 
 def _names(ddl: str) -> list[str]:
@@ -59,8 +60,8 @@ class BucketAnswers(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
-            fields = frame[_names(ROW)].astype(object)
-            self.rows.appendList(list(fields.where(fields.notna(), None).itertuples(index=False, name=None)))
+            columns = [[None if pd.isna(x) else int(x) if name in WHOLE else x for x in frame[name].tolist()] for name in _names(ROW)]
+            self.rows.appendList(list(zip(*columns)))
         self.handle.registerTimer((int(key[1]) + 1) * self.timeout_seconds * 1000)
         return iter(())
 
@@ -101,6 +102,13 @@ def verify_stream(fixes: DataFrame, runs: DataFrame, timeout_seconds: int = TIME
         outputMode="append", timeMode="EventTime")
 
 
+def with_open(fixes: DataFrame, settled_fixes: DataFrame) -> DataFrame:
+    """Every fix: those not settled yet have outcome ``open``."""
+    done = settled_fixes.drop("job_id", "issue_type").withColumnRenamed("outcome", "_outcome")
+    return fixes.select("fix_id", F.col("job_id").cast("string").alias("job_id"), "issue_type").join(done, "fix_id", "left") \
+        .withColumn("outcome", F.coalesce("_outcome", F.lit("open"))).drop("_outcome")
+
+
 def settled(answers: DataFrame) -> DataFrame:
     """Fixes whose every bucket is closed, with their outcome."""
     nearest_run = F.min_by(F.struct("next_run_id", "next_status", "next_issue"), F.col("next_at"))
