@@ -17,6 +17,7 @@ SHARE = 1.5
 MOST_USES = 2
 BLOCK_WORDS = 32
 SHARD_SLOTS = 1 << 14
+TASK_SLOTS = 1 << 18
 CHUNKS = 1024
 SEED = 20
 MASK = (1 << 64) - 1
@@ -151,7 +152,8 @@ def drawn_blocks(spark, sources: list[tuple]) -> DataFrame:
                 found = permuted(part, n, SEED * 1_000_003 + number * MOST_USES + use)
                 yield from ((row["shard"], number, block, use) for block in found.tolist())
 
-    return map_rows(shard_draws(spark, sources).repartition("shard", "number"),
+    tasks = max(1, -(-sum(s[5] for s in sources) // TASK_SLOTS))
+    return map_rows(shard_draws(spark, sources).repartition(tasks, "shard", "number"),
                     "shard long, number int, block long, use int", rows, flush=1 << 15)
 
 
@@ -187,7 +189,7 @@ def taken_words(docs: DataFrame) -> DataFrame:
     documents, uses = mix(docs)
     documents = kept(documents, "mix-documents")
     per_block = uses.groupBy("number", "block").agg(F.count("*").alias("uses"))
-    taken = touched(documents).join(per_block, ["number", "block"]) \
+    taken = touched(documents).hint("merge").join(per_block, ["number", "block"]) \
         .groupBy("number", "start").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     full = documents.where("size > 0").join(taken, ["number", "start"], "left")
     rest = documents.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
@@ -202,7 +204,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     second pass. Documents of which no block is drawn, those without words included, are not in the mix.
     """
     documents, uses = mix(docs)
-    used = touched(documents).join(uses.select("number", "block", "use"), ["number", "block"]) \
+    # Both sides grow with the corpus, and Spark cannot know the size of drawn blocks.
+    used = touched(documents).hint("merge").join(uses.select("number", "block", "use"), ["number", "block"]) \
         .groupBy("key", "key2", "number", "start").agg(
             F.sort_array(F.collect_list(F.struct("use", "begin", "words"))).alias("spans"))
     # Equal rows have equal keys: number them, so that each copy meets its own spans.
