@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from runhealth.llm.common import map_rows
+from runhealth.llm.common import kept, map_rows
 from runhealth.llm.url_filter import host_and_path
 
 # Comments, raw-text elements, declarations, tags; an attribute value may hold ">".
@@ -43,6 +43,8 @@ MAIN_TAGS = frozenset(("article", "main"))
 MAIN_WORDS = frozenset("article main content post entry story articlebody".split())
 SUPPORT = 0.5
 MAX_DEPTH = 100
+# Up to this many hosts, about 20 MB, the templates are sent to the tasks; more are joined by shuffle.
+BROADCAST_HOSTS = 1 << 17
 
 
 def marks(attributes: str) -> list[str]:
@@ -244,7 +246,9 @@ def extract_articles(pages: DataFrame) -> DataFrame:
     host, _, _ = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"),
                         host.alias("host"))
-    known = templates(rows.select("host", "html", F.xxhash64("page_id", "url", "html").alias("page")))
+    known = kept(templates(rows.select("host", "html", F.xxhash64("page_id", "url", "html").alias("page"))), "templates")
+    if known.count() <= BROADCAST_HOSTS:
+        known = F.broadcast(known)
 
     def extracted(stream: Iterator[dict]) -> Iterator[tuple]:
         for row in stream:
