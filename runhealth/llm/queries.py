@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runhealth.llm import chat, extract, line_dedup, mixing, packing, quality, scoring, simhash, topk, url_filter
+from runhealth.llm import chat, extract, mixing, packing, passages, quality, scoring, simhash, topk, url_filter
 from runhealth.llm.oracle import ORACLES
 
 # The test tables come without a list of URLs: pages of hosts with these words stand for one.
@@ -38,7 +38,7 @@ def simhash_dedup(spark: SparkSession, path: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, path: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, path, "documents")).select("doc_id", "n_lines", "n_removed", "n_chars", "text")
+    return passages.dedup_passages(table(spark, path, "documents")).select("doc_id", "n_lines", "n_removed", "n_chars", "text")
 
 
 def exact_top_k(spark: SparkSession, path: str) -> DataFrame:
