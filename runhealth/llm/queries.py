@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runhealth.llm import chat, extract, mixing, packing, passages, quality, scoring, simhash, topk, url_filter
+from runhealth.llm import chat, extract, mixing, packing, passages, quality, simhash, topk, url_filter, word_scoring
 from runhealth.llm.oracle import ORACLES
 
 # The test tables come without a list of URLs: pages of hosts with these words stand for one.
@@ -67,7 +67,7 @@ def chat_format(spark: SparkSession, path: str) -> DataFrame:
 
 def lm_scoring(spark: SparkSession, path: str) -> DataFrame:
     good = table(spark, path, "labels").where("quality = 1").select("doc_id")
-    return scoring.score_documents(table(spark, path, "documents"), good)
+    return word_scoring.score_documents(table(spark, path, "documents"), good)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
