@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runhealth.llm import chat, extract, mixing, packing, passages, quality, simhash, topk, url_filter, word_scoring
+from runhealth.llm import (
+    chat, extract, hard_negatives as negatives, mixing, packing, passages, quality, simhash, topk, turn_repair, url_filter, word_scoring)
 from runhealth.llm.oracle import ORACLES
 
 # The test tables come without a list of URLs: pages of hosts with these words stand for one.
@@ -70,6 +71,15 @@ def lm_scoring(spark: SparkSession, path: str) -> DataFrame:
     return word_scoring.score_documents(table(spark, path, "documents"), good)
 
 
+def repaired_turns(spark: SparkSession, path: str) -> DataFrame:
+    return turn_repair.repair_digests(table(spark, path, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def hard_negatives(spark: SparkSession, path: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, path, "embeddings").withColumn("label", label))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filters,
     "op2_source_mix": source_mix,
@@ -81,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": html_extraction,
     "op9_chat_formatting": chat_format,
     "op10_lm_scoring": lm_scoring,
+    "op11_turn_repair": repaired_turns,
+    "op12_hard_negatives": hard_negatives,
 }
 
 
