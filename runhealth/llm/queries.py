@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runhealth.llm import (
-    chat, extract, hard_negatives as negatives, mixing, packing, passages, quality, simhash, topk, turn_repair, url_filter, word_scoring)
+    byte_pairs, chat, extract, hard_negatives as negatives, mixing, packing, passages, quality, simhash, topk, turn_repair, url_filter, word_scoring)
 from runhealth.llm.oracle import ORACLES
 
 # The test tables come without a list of URLs: pages of hosts with these words stand for one.
@@ -80,6 +80,13 @@ def hard_negatives(spark: SparkSession, path: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, path, "embeddings").withColumn("label", label))
 
 
+def byte_pair_round_trip(spark: SparkSession, path: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_pairs.round_trip(table(spark, path, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                                 public_tokenizers.PATTERN, stored=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filters,
     "op2_source_mix": source_mix,
@@ -93,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": lm_scoring,
     "op11_turn_repair": repaired_turns,
     "op12_hard_negatives": hard_negatives,
+    "op13_byte_pairs": byte_pair_round_trip,
 }
 
 
