@@ -22,7 +22,7 @@ from runhealth.llm.common import encoded, kept, map_rows
 
 # A space between two characters that no library counts as white space starts a new pre-token, whatever stands around.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
 # White space that texts seldom hold.
 SEPARATORS = "\x0b\x0c\x85\u2028\u2029\u1680"
 DECODE_TOKENS = 1 << 22
@@ -82,8 +82,12 @@ def loosen(data: bytes, at: int) -> tuple[bytes, int]:
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Positions start, start + 1, ... of each stretch, one stretch after the other."""
-    ends = np.cumsum(sizes)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, int(starts.max(initial=0))) < 1 << 30 else np.int64
+    places = np.repeat((starts - (ends - sizes)).astype(kind), sizes)
+    places += np.arange(total, dtype=kind)
+    return places
 
 
 class Numbers(dict):
@@ -117,6 +121,7 @@ class Block:
         """Pre-tokens by number, those of all distinct parts in a row, and how many each part has."""
         find = splitter(pattern).findall
         texts = [part[1:] if part[0] == " " else " " + part for part in self.numbers]
+        self.numbers.clear()  # no part is added after this
         # White space that no text holds is a pre-token of its own between texts that neither begin nor end with white space but
         # one space, so these are split as one.
         odd = {i for i, t in enumerate(texts) if t[-1].isspace() or t[1:2].isspace() or (t[0] != " " and t[0].isspace())}
@@ -127,7 +132,8 @@ class Block:
             odd, even = set(range(len(texts))), []
         words = Numbers()
         found = find(mark.join([*even, ""])) if even else []
-        codes = np.fromiter(map(words.__getitem__, found), np.int64, len(found))
+        codes = np.fromiter(map(words.__getitem__, found), "<u4", len(found))
+        del found, whole
         ends = np.flatnonzero(codes == words[mark]) if even else np.zeros(0, np.int64)
         sizes = np.zeros(len(texts), np.int64)
         is_even = np.ones(len(texts), bool)
@@ -141,7 +147,7 @@ class Block:
         for i in sorted(odd):
             mine = [words[word] for word in find(texts[i])]
             starts[i], sizes[i] = at, len(mine)
-            flat.append(np.array(mine, np.int64))
+            flat.append(np.array(mine, "<u4"))
             at += len(mine)
         return words, np.concatenate(flat), np.stack([starts, sizes])
 
@@ -152,7 +158,7 @@ class Block:
         codes = flat[ragged(starts[parts], sizes[parts])]
         counts = np.bincount(codes, minlength=len(words))
         order = np.argsort(-counts, kind="stable")[:np.count_nonzero(counts)]
-        rank = np.zeros(len(words), np.int64)
+        rank = np.zeros(len(words), "<u4")
         rank[order] = np.arange(len(order))
         listed = list(words)
         ends = np.concatenate([[0], np.cumsum(sizes[parts])])[np.concatenate([[0], np.cumsum(self.n_parts, dtype=np.int64)])]
