@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from runhealth.llm.blocks import Numbers, loosen, loosen_planes, ragged, squeeze, squeeze_planes
 from runhealth.llm.common import encoded, kept, map_rows
 
 # A space between two characters that no library counts as white space starts a new pre-token, whatever stands around.
@@ -58,46 +59,6 @@ def spaced(text: str) -> list[str]:
     return CUT.split(text)
 
 
-def squeezed(array: np.ndarray) -> bytes:
-    """Whole numbers, their bytes by significance, compressed."""
-    return squeeze(np.ascontiguousarray(array, "<u4").view("u1").reshape(-1, 4).T.tobytes())
-
-
-def loosened(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
-    raw, at = loosen(data, at)
-    return np.frombuffer(raw, "u1").reshape(4, -1).T.copy().view("<u4").ravel(), at
-
-
-def squeeze(data: bytes) -> bytes:
-    """Length, compressed length and Zstandard frame."""
-    packed = pa.Codec("zstd").compress(data, asbytes=True) if data else b""
-    return len(data).to_bytes(8, "little") + len(packed).to_bytes(8, "little") + packed
-
-
-def loosen(data: bytes, at: int) -> tuple[bytes, int]:
-    size, held = (int.from_bytes(data[at + k:at + k + 8], "little") for k in (0, 8))
-    end = at + 16 + held
-    return (pa.Codec("zstd").decompress(data[at + 16:end], size, asbytes=True) if size else b""), end
-
-
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Positions start, start + 1, ... of each stretch, one stretch after the other."""
-    ends = np.cumsum(sizes, dtype=np.int64)
-    total = int(ends[-1]) if len(ends) else 0
-    kind = np.int32 if max(total, int(starts.max(initial=0))) < 1 << 30 else np.int64
-    places = np.repeat((starts - (ends - sizes)).astype(kind), sizes)
-    places += np.arange(total, dtype=kind)
-    return places
-
-
-class Numbers(dict):
-    """Number things as they first come."""
-
-    def __missing__(self, key: str) -> int:
-        self[key] = found = len(self)
-        return found
-
-
 class Block:
     """Documents of one task, up to BLOCK_BYTES of text or one longer document, as numbered parts between spaces."""
 
@@ -165,6 +126,10 @@ class Block:
         return [encoded(listed[i]) for i in order], rank[codes], np.diff(ends)
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    return squeeze_planes(numbers.astype("<u4"))
+
+
 def buckets_of(words: list[bytes], n: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words)) % np.uint64(n)
 
@@ -192,12 +157,12 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int, layout: bool) -> DataFr
         name = state.hexdigest()
         if layout:
             yield name, -1, LAYOUT, b"".join([
-                squeezed(codes), squeezed(at), squeezed(n_words), squeeze(doc_ids.tobytes()), squeeze(no_id.tobytes())])
+                _packed(codes), _packed(at), _packed(n_words), squeeze(doc_ids.tobytes()), squeeze(no_id.tobytes())])
             return
         order = np.argsort(at, kind="stable")
         cuts = np.flatnonzero(np.diff(at[order])) + 1
         for mine in np.split(order, cuts) if len(order) else []:
-            yield name, int(at[mine[0]]), REQUEST, squeezed(lengths[mine]) + squeeze(b"".join([words[i] for i in mine.tolist()]))
+            yield name, int(at[mine[0]]), REQUEST, _packed(lengths[mine]) + squeeze(b"".join([words[i] for i in mine.tolist()]))
 
     def rows(stream: Iterator[dict]) -> Iterator[tuple]:
         block = Block()
@@ -221,7 +186,7 @@ def _answers(requests: DataFrame, path: str, pattern: str, buckets: int) -> Data
         for row in stream:
             if row["bucket"] != bucket:
                 known, bucket = {}, row["bucket"]
-            lengths, at = loosened(row["payload"])
+            lengths, at = loosen_planes(row["payload"])
             text, _ = loosen(row["payload"], at)
             ids, begin = [], 0
             for end in np.cumsum(lengths, dtype=np.int64).tolist():
@@ -232,7 +197,7 @@ def _answers(requests: DataFrame, path: str, pattern: str, buckets: int) -> Data
                     found = known[word] = encode(word.decode())
                 ids.append(found)
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            yield row["block"], bucket, REPLY, squeezed(sizes) + squeezed(np.fromiter(chain.from_iterable(ids), "<u4", int(sizes.sum())))
+            yield row["block"], bucket, REPLY, _packed(sizes) + _packed(np.fromiter(chain.from_iterable(ids), "<u4", int(sizes.sum())))
 
     return map_rows(requests.repartition(buckets, "bucket").sortWithinPartitions("bucket"), SENT, rows)
 
@@ -241,9 +206,9 @@ class Answered:
     """A block's layout with the ids of its words as they come in."""
 
     def __init__(self, layout: bytes):
-        self.codes, at = loosened(layout)
-        self.bucket, at = loosened(layout, at)
-        self.n_words, at = loosened(layout, at)
+        self.codes, at = loosen_planes(layout)
+        self.bucket, at = loosen_planes(layout, 4, at)
+        self.n_words, at = loosen_planes(layout, 4, at)
         doc_ids, at = loosen(layout, at)
         no_id, _ = loosen(layout, at)
         self.doc_ids = [None if none else d for d, none in zip(np.frombuffer(doc_ids, "<i8").tolist(), np.frombuffer(no_id, "u1").tolist())]
@@ -260,8 +225,8 @@ class Answered:
         mine = self.order[self.first[bucket]:self.first[bucket + 1]]
         if self.answered[mine].all():  # asked by an equal block
             return
-        sizes, at = loosened(payload)
-        ids, _ = loosened(payload, at)
+        sizes, at = loosen_planes(payload)
+        ids, _ = loosen_planes(payload, 4, at)
         self.sizes[mine] = sizes
         self.starts[mine] = self.held + np.cumsum(sizes, dtype=np.int64) - sizes
         self.answered[mine] = True
@@ -298,56 +263,59 @@ def encode(docs: DataFrame, path: str, pattern: str, buckets: int | None = None,
     order asked. A block's layout, word numbers by position, meets its answers by the block's name. Texts are
     never shuffled.
     """
+    return _gathered(docs, path, pattern, buckets, stored).mapInArrow(_assembled, ENCODED)
+
+
+def _gathered(docs: DataFrame, path: str, pattern: str, buckets: int | None, stored: bool) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     docs = docs if stored else kept(docs, "byte-pair-documents")
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     answers = _answers(_blocks(docs, pattern, buckets, False), path, pattern, buckets)
     both = answers.unionByName(_blocks(docs, pattern, buckets, True))
-    gathered = both.repartition("block").sortWithinPartitions("block", "bucket")
-    schema = StructType.fromDDL(ENCODED)
-
-    def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = to_arrow_schema(schema)
-
-        def packed(held: list[tuple]) -> pa.RecordBatch:
-            doc_ids, sizes, ids = zip(*held)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("<i4")
-            flat = np.concatenate(ids).astype("<i4")
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), type=arrow.field("ids").type)
-            return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(sizes, pa.int64()), lists], names=arrow.names)
-
-        def documents() -> Iterator[tuple]:
-            name, block = None, None
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    found, bucket, kind, payload = (batch.column(c)[i].as_py() for c in range(4))
-                    if found != name:
-                        if block:
-                            yield from block.documents()
-                        name, block = found, None
-                    if kind == LAYOUT and block:
-                        block.copies += 1
-                    elif kind == LAYOUT:
-                        block = Answered(payload)
-                    elif block:
-                        block.add(bucket, payload)
-                    else:
-                        raise ValueError("ids without a block: the documents changed while they were read, write them to a table first")
-            if block:
-                yield from block.documents()
-
-        held, size = [], 0
-        for document in documents():
-            held.append(document)
-            size += document[1]
-            if len(held) >= 2048 or size >= 1 << 20:
-                yield packed(held)
-                held, size = [], 0
-        if held:
-            yield packed(held)
+    return both.repartition("block").sortWithinPartitions("block", "bucket")
+
 
-    return gathered.mapInArrow(assembled, schema)
+def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Layouts and answers, block by block, to documents."""
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        doc_ids, sizes, ids = zip(*held)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("<i4")
+        flat = np.concatenate(ids).astype("<i4")
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), type=arrow.field("ids").type)
+        return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(sizes, pa.int64()), lists], names=arrow.names)
+
+    def documents() -> Iterator[tuple]:
+        name, block = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found, bucket, kind, payload = (batch.column(c)[i].as_py() for c in range(4))
+                if found != name:
+                    if block:
+                        yield from block.documents()
+                    name, block = found, None
+                if kind == LAYOUT and block:
+                    block.copies += 1
+                elif kind == LAYOUT:
+                    block = Answered(payload)
+                elif block:
+                    block.add(bucket, payload)
+                else:
+                    raise ValueError("ids without a block: the documents changed while they were read, write them to a table first")
+        if block:
+            yield from block.documents()
+
+    held, size = [], 0
+    for document in documents():
+        held.append(document)
+        size += document[1]
+        if len(held) >= 2048 or size >= 1 << 20:
+            yield packed(held)
+            held, size = [], 0
+    if held:
+        yield packed(held)
 
 
 @cache
@@ -364,48 +332,51 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     by every worker, and gathered again by position, at most DECODE_TOKENS or one row's ids at a time. Null or
     empty ids give no bytes; a null or unknown id raises.
     """
-    schema = StructType([f for f in tokens.schema.fields if f.name != "ids"]).add("decoded", "binary")
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow, table = to_arrow_schema(schema), token_table(path)
-        for batch in batches:
-            lists = batch.column("ids")
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
-            begin = 0
-            while begin < batch.num_rows:
-                done = int(ends[begin - 1]) if begin else 0
-                end = max(begin + 1, int(np.searchsorted(ends, done + DECODE_TOKENS, "right")))
-                ids = lists.slice(begin, end - begin).flatten()
-                if len(ids) and (ids.null_count or pc.min(ids).as_py() < 0 or pc.max(ids).as_py() >= len(table)):
-                    raise ValueError("an id stands for no token")
-                found = table.take(ids)
-                if found.null_count:
-                    raise ValueError("an id stands for no token")
-                offsets = np.concatenate([[0], ends[begin:end] - done]).astype("<i8")
-                texts = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets), found), pa.scalar(b"", pa.large_binary()))
-                rest = [batch.column(f.name).slice(begin, end - begin) for f in schema.fields[:-1]]
-                yield pa.RecordBatch.from_arrays([*rest, texts.cast(pa.binary())], schema=arrow)
-                begin = end
-
-    return tokens.mapInArrow(joined, schema)
+    schema = _decoded_schema(tokens.schema)
+    return tokens.mapInArrow(lambda batches: _decoded(batches, path, schema), schema)
+
+
+def _decoded_schema(tokens: StructType) -> StructType:
+    return StructType([f for f in tokens.fields if f.name != "ids"]).add("decoded", "binary")
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], path: str, schema: StructType) -> Iterator[pa.RecordBatch]:
+    arrow, table = to_arrow_schema(schema), token_table(path)
+    for batch in batches:
+        lists = batch.column("ids")
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+        begin = 0
+        while begin < batch.num_rows:
+            done = int(ends[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, done + DECODE_TOKENS, "right")))
+            ids = lists.slice(begin, end - begin).flatten()
+            if len(ids) and (ids.null_count or pc.min(ids).as_py() < 0 or pc.max(ids).as_py() >= len(table)):
+                raise ValueError("an id stands for no token")
+            found = table.take(ids)
+            if found.null_count:
+                raise ValueError("an id stands for no token")
+            offsets = np.concatenate([[0], ends[begin:end] - done]).astype("<i8")
+            texts = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets), found), pa.scalar(b"", pa.large_binary()))
+            rest = [batch.column(f.name).slice(begin, end - begin) for f in schema.fields[:-1]]
+            yield pa.RecordBatch.from_arrays([*rest, texts.cast(pa.binary())], schema=arrow)
+            begin = end
 
 
 DIGEST = "doc_id long, n_tokens long, ids array<int>, ids_sha256 string"
 
 
-def with_digest(tokens: DataFrame) -> DataFrame:
+def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Add the SHA-256 of the ids as little-endian unsigned 32-bit numbers."""
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("ids")
-            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4")
-            hashes = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(offsets, offsets[1:])]
-            yield batch.append_column("ids_sha256", pa.array(hashes, pa.string()))
-
-    return tokens.mapInArrow(rows, DIGEST)
+    for batch in batches:
+        lists = batch.column("ids")
+        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4")
+        hashes = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(offsets, offsets[1:])]
+        yield batch.append_column("ids_sha256", pa.array(hashes, pa.string()))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, stored: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document, encoded and decoded."""
-    found = decode(with_digest(encode(docs, path, pattern, stored=stored)), path)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document: ``encode`` and ``decode``, in one Python worker a task."""
+    schema = _decoded_schema(StructType.fromDDL(DIGEST))
+    found = _gathered(docs, path, pattern, None, stored).mapInArrow(
+        lambda batches: _decoded(_with_digest(_assembled(batches)), path, schema), schema)
     return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

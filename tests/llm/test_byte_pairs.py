@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from runhealth.llm import byte_pairs as bp
+from runhealth.llm import blocks, byte_pairs as bp
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 CHARS = st.sampled_from(list("ab'st  \n\t\r.,!1٣é\xa0\x1c\x1f\x85 　\U0001f600\x00中"))
@@ -48,8 +48,9 @@ def test_words_of_a_block_are_the_pattern_matches(texts):
 
 @given(st.lists(st.integers(0, 2 ** 32 - 1), max_size=50))
 def test_numbers_come_back(numbers):
-    got, _ = bp.loosened(bp.squeezed(bp.np.array(numbers, "u8")))
-    assert got.tolist() == numbers
+    for width in (4, 8):
+        got, _ = blocks.loosen_planes(blocks.squeeze_planes(bp.np.array(numbers, f"<u{width}")), width)
+        assert got.tolist() == numbers
 
 
 @pytest.mark.parametrize("size,most", [(300, 7), (32 << 20, 1 << 22)])
@@ -69,7 +70,7 @@ def test_each_distinct_word_is_asked_once_a_block(spark, no_docs):
     asked = bp._blocks(rows, PATTERN, 8, False).collect()
     words = []
     for r in asked:
-        lengths, at = bp.loosened(r["payload"])
+        lengths, at = blocks.loosen_planes(r["payload"])
         words.append(len(lengths))
     assert sum(words) == 3 and len({r["block"] for r in asked}) == 1  # "the", " the", " cat"
     assert bp.encode(no_docs, PATH, PATTERN).count() == 0
@@ -108,10 +109,10 @@ def test_equal_blocks_are_told_apart_by_nothing_and_kept_each(spark, monkeypatch
 def test_changed_documents_raise(spark, monkeypatch):
     reads, real = [], bp._blocks
 
-    def blocks(docs, *rest):
+    def moving(docs, *rest):
         reads.append(1)
         return real(docs.withColumn("text", F.concat("text", F.lit(f" {len(reads)}"))), *rest)
-    monkeypatch.setattr(bp, "_blocks", blocks)
+    monkeypatch.setattr(bp, "_blocks", moving)
     frame = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
     with pytest.raises(Exception, match="changed while they were read"):
         bp.encode(frame, PATH, PATTERN).count()
