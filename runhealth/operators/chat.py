@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from runhealth.functions import intent
-from runhealth.operators.ordered import nearest, running_total
+from runhealth.operators.scan import states_before
 
-TURNS_PER_BUCKET = 1000
+TURNS_PER_BUCKET = 256
 
 
 def message_intents(chat: DataFrame, word_boundary: bool = False) -> DataFrame:
@@ -31,52 +31,56 @@ def route_messages(chat: DataFrame, job_fixes: DataFrame, word_boundary: bool =
     job has a suggestion, waits for an answer on that one. Approval and
     rejection count only while a fix waits.
 
-    What a message does depends on whether a fix waits, so it is one of:
-    nothing; set (always leaves the same state); or flip (a message that answers
-    *and* names a job with a suggestion: it answers a waiting fix, else it starts
-    a wait). The state before a message is the last set and the number of flips
-    since, which are a nearest lookup and a running total, so no conversation is
-    replayed row by row.
+    What a message does to the state is a function of two cases, no fix waiting and some fix waiting, so
+    messages compose and a conversation is a scan, not a replay (see ``scan``). User turns are unique within a conversation.
     """
     users = message_intents(chat.where(F.col("role") == "user"), word_boundary)
     rows = users.join(job_fixes.select("job_ref", F.col("fix_id").alias("offered")), "job_ref", "left")
-    answers = F.col("is_approval") | F.col("is_rejection")
     names_job = F.col("job_ref").isNotNull()
-    offers = F.col("offered").isNotNull()
-    flips = answers & names_job & offers
-    sets = (answers | names_job) & ~flips
-    bucket = F.floor(F.col("turn") / turns_per_bucket).cast("bigint")
-    keys, order = ["conv_id"], ["turn"]
-
-    rows = running_total(rows, keys, order, bucket, F.when(flips, 1).otherwise(0).cast("bigint"), "_flips")
-    # A set leaves the offered fix waiting, or nothing (a null fix).
-    rows = nearest(rows, keys, order, bucket,
-                   F.when(sets, F.struct(F.when(~answers, F.col("offered")).alias("fix_id"),
-                                         F.col("_flips").alias("flips"))), "_set")
-    rows = nearest(rows, keys, order, bucket, F.when(flips, F.struct(F.col("offered").alias("fix_id"))), "_flip")
-    rows = nearest(rows, keys, order, bucket, F.when(names_job, F.struct(offers.alias("found"))), "_asked")
-
-    before = F.col("_flips") - F.when(flips, 1).otherwise(0)
-    since = before - F.coalesce("_set.flips", F.lit(0))
-    set_waits = F.col("_set.fix_id").isNotNull()
-    waits = set_waits != (since % 2 == 1)
-    waiting = F.when(waits, F.when(since == 0, F.col("_set.fix_id")).otherwise(F.col("_flip.fix_id")))
+    found = states_before(
+        rows, ["conv_id"], ["turn"], F.floor(F.col("turn") / turns_per_bucket).cast("bigint"), _does(names_job), _then, _after,
+        F.struct(F.lit(None).cast("string").alias("fix"), F.lit(False).alias("found")), "_state")
     kind = (
         F.when(F.col("waiting_fix").isNotNull() & F.col("is_approval"), F.lit("approve"))
         .when(F.col("waiting_fix").isNotNull() & F.col("is_rejection"), F.lit("reject"))
         .when(names_job, F.lit("monitor"))
         .when(F.col("wants_simulation"), F.lit("ask_for_id"))
-        .when(F.coalesce(F.col("_asked.found"), F.lit(False)), F.lit("in_progress"))
+        .when(F.col("_state.found"), F.lit("in_progress"))
         .when(F.col("wants_help"), F.lit("help"))
         .otherwise(F.lit("generic"))
     )
     return (
-        rows.withColumn("waiting_fix", waiting).withColumn("message_class", kind)
+        found.withColumn("waiting_fix", F.col("_state.fix")).withColumn("message_class", kind)
         .withColumn("decided_fix", F.when(F.col("message_class").isin("approve", "reject"), F.col("waiting_fix")))
-        .drop("_flips", "_set", "_flip", "_asked")
+        .drop("_state")
     )
 
 
+def _does(names_job: Column) -> Column:
+    """What a message leaves waiting if nothing waits (``none``) or a fix does (``keeps`` it, or ``some``), and, if it
+    names a job, whether that job has a fix."""
+    answers = F.col("is_approval") | F.col("is_rejection")
+    offered = F.when(names_job, F.col("offered"))
+    return F.struct(
+        offered.alias("none"), (~answers & ~names_job).alias("keeps"), F.when(~answers, offered).alias("some"),
+        F.when(names_job, F.col("offered").isNotNull()).alias("found"))
+
+
+def _waits(fix: Column, f: Column) -> Column:
+    return F.when(fix.isNull(), f["none"]).when(f["keeps"], fix).otherwise(f["some"])
+
+
+def _after(state: Column, f: Column) -> Column:
+    return F.struct(_waits(state["fix"], f).alias("fix"), F.coalesce(f["found"], state["found"]).alias("found"))
+
+
+def _then(f: Column, g: Column) -> Column:
+    return F.struct(
+        _waits(f["none"], g).alias("none"), (f["keeps"] & g["keeps"]).alias("keeps"),
+        F.when(f["keeps"], g["some"]).otherwise(_waits(f["some"], g)).alias("some"),
+        F.coalesce(g["found"], f["found"]).alias("found"))
+
+
 def chat_decisions(routed: DataFrame) -> DataFrame:
     """The approvals and rejections given in chat."""
     return routed.where(F.col("decided_fix").isNotNull()).select(

@@ -36,13 +36,6 @@ def parse_log_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.withColumns(log_fields(F.col(column)))
 
 
-def split_records(files: DataFrame) -> DataFrame:
-    """Whole files (``file value``) to records, continuation lines attached."""
-    pieces = F.split(F.regexp_replace("value", r"\n$", ""), rf"\n(?={TIME} \| )")
-    records = files.select("file", F.posexplode(pieces).alias("record_no", "value"))
-    return parse_log_lines(records).select("file", "record_no", "ts", "level", "logger", "message")
-
-
 def assemble_records(lines: DataFrame, lines_per_bucket: int = LINES_PER_BUCKET) -> DataFrame:
     """Attach continuation lines to the record above, over ``file line_no value``.
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runhealth.sources import schemas
-from runhealth.sources.logtext import split_records
 
 
 def _json(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -62,13 +61,3 @@ def read_log_entries(spark: SparkSession, path: str) -> DataFrame:
     return _json(spark, path, schemas.LOG_ENTRY_EXPORT).select(
         F.try_to_timestamp("timestamp").alias("ts"), "log_type", "cluster_id", "user", "level", "source",
         "message", "_corrupt_record")
-
-
-def read_log_files(spark: SparkSession, directory: str, name: str = "agent.log") -> DataFrame:
-    """Records of a log file and its rotated backups (``.1``, ``.2``, ...).
-
-    A file is read whole because a record can span lines. That is safe because
-    the writer rotates files at 10 MB; ``file`` and ``record_no`` give the order.
-    """
-    files = spark.read.option("pathGlobFilter", f"{name}*").text(directory, wholetext=True)
-    return split_records(files.select(F.col("_metadata.file_name").alias("file"), "value"))
