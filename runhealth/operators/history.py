@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from runhealth.functions.intent import state_kind
-from runhealth.functions.text import or_default
-from runhealth.operators.ordered import first_n, nearest
+from runhealth.functions.text import or_default, time_bucket
+from runhealth.operators.ordered import first_n, nearest, running_number
 
 LINES_PER_BUCKET = 100_000
+DAY = 86_400
 
 
 def recent_runs(runs: DataFrame, limit: int = 25, per_job: bool = False) -> DataFrame:
@@ -35,21 +36,40 @@ def head_logs(logs: DataFrame, max_logs: int = 10) -> DataFrame:
     return kept.where(F.col("position") <= max_logs).join(cut, "run_id")
 
 
+def _entry_line() -> Column:
+    time = or_default(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "Unknown")
+    return F.concat(F.lit("["), time, F.lit("] "), or_default(F.col("message"), "No message"))
+
+
+def _joined_lines(rows: str) -> Column:
+    return F.array_join(F.transform(rows, lambda r: r["_line"]), "\n").alias("digest")
+
+
 def digest_text(logs: DataFrame, max_logs: int = 10) -> DataFrame:
     """Per run, its first entries as ``[time] message`` lines. At most ``max_logs``
-    entries per run are collected."""
-    time = or_default(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "Unknown")
-    line = F.concat(F.lit("["), time, F.lit("] "), or_default(F.col("message"), "No message"))
+    entries per run are collected; ``digest_chunks`` has them all."""
     entries = F.array_sort(F.collect_list(F.struct("position", "_line")))
     kept = first_n(logs, ["run_id"], [F.col("ts").asc(), F.col("event_id").asc()], max_logs + 1)
     return (
-        kept.withColumn("_line", line).groupBy("run_id").agg(entries.alias("_rows"))
+        kept.withColumn("_line", _entry_line()).groupBy("run_id").agg(entries.alias("_rows"))
         .select("run_id", F.size("_rows").alias("_n"), F.slice("_rows", 1, max_logs).alias("_rows"))
-        .select("run_id", F.size("_rows").alias("log_count"), (F.col("_n") > max_logs).alias("truncated"),
-                F.array_join(F.transform("_rows", lambda r: r["_line"]), "\n").alias("digest"))
+        .select("run_id", F.size("_rows").alias("log_count"), (F.col("_n") > max_logs).alias("truncated"), _joined_lines("_rows"))
     )
 
 
+def digest_chunks(logs: DataFrame, per_chunk: int = 10, bucket_seconds: int = DAY) -> DataFrame:
+    """Per run and chunk, ``per_chunk`` entries each in order of time, all its entries as ``[time] message`` lines.
+
+    Entries are numbered within days and days are added up, so a run with much of the table is spread over its days;
+    a chunk is all that is held together.
+    """
+    numbered = running_number(logs, ["run_id"], ["ts", "event_id"], time_bucket(F.col("ts"), bucket_seconds), "position")
+    chunk = F.floor((F.col("position") - 1) / per_chunk).cast("bigint")
+    rows = F.array_sort(F.collect_list(F.struct("position", "_line")))
+    return numbered.select("run_id", chunk.alias("chunk"), "position", _entry_line().alias("_line")).groupBy("run_id", "chunk").agg(
+        rows.alias("_rows")).select("run_id", "chunk", F.size("_rows").alias("log_count"), _joined_lines("_rows"))
+
+
 def last_user_message(chat: DataFrame) -> DataFrame:
     """Per conversation, the text of its last user turn; nothing there reads ``Hello``."""
     last = F.max_by(F.when(F.col("role") == "user", F.struct("text")), F.when(F.col("role") == "user", F.col("turn")))

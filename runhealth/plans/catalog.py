@@ -3,23 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from runhealth.functions import diagnosis as dx, guards, intent, remedy, reporting, sqlfuncs, text
-from runhealth.operators import chat, health, history, inventory, lookups, metrics, verify
+from runhealth.operators import chat, health, history, inventory, lookups, metrics, patterns, sketches, verify
 from runhealth.plans import incident
 from runhealth.plans.bindings import FAILURE_NAMES, LOGGER, Tables, pick
-from runhealth.sources import logtext, readers, sinks
-from runhealth.streaming import approvals as approvals_live, follow, verify as verify_live
-from runhealth.streaming.scratch import run_available, shared_folder
+from runhealth.sources import logfiles, logtext, readers, sinks
+from runhealth.streaming import approvals as approvals_live, fix_store, follow, growing, ledger, verify as verify_live
+from runhealth.streaming.scratch import finished, keyed_state_store, landed, one_a_trigger, run_available, shared_folder
 
 Query = Callable[[Tables], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
 # Order dates are whole days, so checks on them wait days, not minutes.
 DAY_SCALE_TIMEOUT = 200 * verify.DAY
-TABLE_SPAN = "36500 days"
+# Streams read the orders in this many landings; within them rows are this many days out of order.
+LANDINGS, SCRAMBLED_DAYS = 6, 30
 
 
 def query(fn: Query) -> Query:
@@ -51,7 +53,7 @@ def assemble_records(t: Tables) -> DataFrame:
 def read_log_files(t: Tables) -> DataFrame:
     path = shared_folder(t.spark, "logs")
     t.log_records.select("record").write.option("maxRecordsPerFile", 20_000).text(path)
-    return readers.read_log_files(t.spark, path, "part-").select("ts", "level", "logger", "message")
+    return logfiles.read_log_files(t.spark, path, "part-").select("ts", "level", "logger", "message")
 
 
 def _export(df: DataFrame, purpose: str) -> str:
@@ -132,6 +134,20 @@ def latest_fix(t: Tables) -> DataFrame:
     return sinks.get_fixes(t.approvals.select("fix_id"), t.spark.read.parquet(path))
 
 
+@query
+def latest_fix_stream(t: Tables) -> DataFrame:
+    """The same two versions, stored by a stream over three triggers in no order, read back from its state."""
+    versions = t.suggestions.select("fix_id", "job_id", "fix_type", F.col("fix_confidence").alias("confidence"),
+                                    F.col("start_ts").alias("stored_ts"))
+    later = versions.withColumn("stored_ts", F.col("stored_ts") + F.expr("INTERVAL 1 HOUR")).withColumn("confidence", F.col("confidence") / 2)
+    both = versions.unionByName(later)
+    path = landed(both, F.pmod(F.xxhash64("fix_id", "stored_ts"), F.lit(3)), 3, "versions")
+    checkpoint = shared_folder(t.spark, "fix-store")
+    with keyed_state_store(t.spark):
+        finished(fix_store.store_fixes(one_a_trigger(t.spark, path, both), checkpoint).trigger(availableNow=True).start())
+        return fix_store.stored_fixes(t.spark, checkpoint, both.schema)
+
+
 @query
 def write_history(t: Tables) -> DataFrame:
     path = shared_folder(t.spark, "history")
@@ -295,6 +311,18 @@ def tag_signatures(t: Tables) -> DataFrame:
     return lookups.tag_signatures(t.logs).select("event_id", joined("tags"))
 
 
+@query
+def tag_pattern_table(t: Tables) -> DataFrame:
+    """Two patterns a customer and one for all, over the user turns."""
+    job = F.col("c_custkey").cast("string")
+    customers = t.table("customer")
+    table = customers.select(F.concat(F.lit("job-"), job).alias("name"), F.concat(F.lit("job_"), job, F.lit(r"\b")).alias("pattern")) \
+        .unionByName(customers.select(F.concat(F.lit("check-"), job).alias("name"), F.concat(F.lit("(?i)CHECK JOB "), job, F.lit("$")).alias("pattern"))) \
+        .unionByName(t.spark.createDataFrame([("answer", "(?i)yes|approve")], "name string, pattern string"))
+    turns = t.chat.where(F.col("role") == "user")
+    return patterns.tag_patterns(turns, table, ["conv_id", "turn"], "text").select("conv_id", "turn", joined("tags"))
+
+
 @query
 def tag_own_signatures(t: Tables) -> DataFrame:
     own = {"heap": "heap|Memory", "disk": "[Dd]isk", "missing": "No module|ClassNotFound"}
@@ -366,6 +394,17 @@ def issue_summary(t: Tables) -> DataFrame:
     return health.issue_summary(checked.select("issue_type", "confidence", "outcome", "job_id"))
 
 
+@query
+def issue_jobs_by_day(t: Tables) -> DataFrame:
+    """Issues and distinct jobs from stored days of sketches, and whether the estimate is within four standard errors."""
+    path = shared_folder(t.spark, "issue-days")
+    sketches.store_days(sketches.daily_distinct(t.fixes, "fix_ts", ["issue_type"], "job_id"), path)
+    found = sketches.distinct_over(sketches.read_days(t.spark, path), ["issue_type"])
+    exact = t.fixes.groupBy("issue_type").agg(F.count_distinct("job_id").alias("jobs"))
+    off = F.abs(F.col("distinct_values") - F.col("jobs")) <= F.greatest(F.lit(1.0), 4 * sketches.DISTINCT_ERROR * F.col("jobs"))
+    return found.join(exact, "issue_type").select("issue_type", F.col("rows").alias("issues"), off.alias("within_bound"))
+
+
 @query
 def confidence_histogram(t: Tables) -> DataFrame:
     return health.confidence_histogram(t.suggestions, "fix_confidence")
@@ -390,6 +429,14 @@ def top_keys(t: Tables) -> DataFrame:
     return metrics.top_keys(t.table("orders"), "o_custkey", 10)
 
 
+@query
+def heaviest_keys(t: Tables) -> DataFrame:
+    """The ten largest keys of each skew column, through counts of hash buckets."""
+    parts = [sketches.heaviest_keys(t.table(name), column).select(
+        F.lit(f"{name}.{column}").alias("checked"), F.col("key").cast("string").alias("key"), "rows") for name, column in SKEW_COLUMNS]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def resource_utilisation(t: Tables) -> DataFrame:
     return metrics.resource_utilisation(t.metrics, t.clusters)
@@ -410,6 +457,22 @@ def response_latency(t: Tables) -> DataFrame:
     return metrics.response_latency(t.api_calls)
 
 
+LATENCY_RANKS = (0.5, 0.9, 0.99)
+
+
+@query
+def latency_percentiles(t: Tables) -> DataFrame:
+    """Latency per operation from stored days of sketches: calls, and whether each percentile's true rank is near enough."""
+    path = shared_folder(t.spark, "latency-days")
+    calls = t.api_calls
+    sketches.store_days(sketches.daily_quantiles(calls, "ts", ["operation"], "duration_seconds"), path)
+    found = sketches.quantiles_over(sketches.read_days(t.spark, path), ["operation"], LATENCY_RANKS)
+    value, n = F.col("duration_seconds"), F.count("duration_seconds")
+    near = [((F.count_if(value < F.col(name)) / n <= r + sketches.RANK_ERROR) & (F.count_if(value <= F.col(name)) / n >= r - sketches.RANK_ERROR)
+             ).alias(f"{name}_near") for r in LATENCY_RANKS for name in [f"p{round(r * 100)}"]]
+    return calls.join(F.broadcast(found), "operation").groupBy("operation").agg(F.first("rows").alias("calls"), *near)
+
+
 @query
 def entry_counts(t: Tables) -> DataFrame:
     return health.entry_counts(t.logs)
@@ -482,6 +545,12 @@ def digest_text(t: Tables) -> DataFrame:
     return history.digest_text(t.logs)
 
 
+@query
+def digest_text_all(t: Tables) -> DataFrame:
+    """Every entry of every run, ten to a chunk."""
+    return history.digest_chunks(t.logs)
+
+
 @query
 def history_newest_first(t: Tables) -> DataFrame:
     done = t.suggestions.select("run_id", "job_id", F.col("start_ts").alias("ts"), "issue_type")
@@ -710,6 +779,11 @@ def route_messages(t: Tables) -> DataFrame:
         "conv_id", "turn", "job_ref", "message_class", "waiting_fix", "decided_fix")
 
 
+@query
+def chat_decisions(t: Tables) -> DataFrame:
+    return chat.chat_decisions(chat.route_messages(t.chat, t.job_fixes))
+
+
 @query
 def result_badge(t: Tables) -> DataFrame:
     return t.verdicts.select("doc_id", intent.result_badge(F.col("content")).alias("badge"))
@@ -774,39 +848,71 @@ def follow_states(t: Tables) -> DataFrame:
     return run_available(live.select("file", "line_no", "ts", "state", "kind"), t.spark, "follow-states")
 
 
+@query
+def follow_growing_logs(t: Tables) -> DataFrame:
+    """State lines of a folder of logs that gains files between two triggers; each line arrives once."""
+    home = shared_folder(t.spark, "growing-logs")
+    states = t.state_log.select("line_no", "value")
+    live = follow.follow_states(growing.read_growing_logs(t.spark, f"{home}/logs", "part-"), LOGGER).select("ts", "state", "kind")
+    for half in (0, 1):
+        states.where(F.col("line_no") % 2 == half).select("value").write.mode("append").text(f"{home}/logs")
+        finished(live.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint")
+                 .trigger(availableNow=True).start())
+    return t.spark.read.schema(live.schema).parquet(f"{home}/out")
+
+
+def _landing(orders: DataFrame, days_late: int = 0) -> tuple[Column, int]:
+    """Which landing an order comes with, in order of its date or up to ``days_late`` days after it, and a landing's days."""
+    first, last = orders.agg(F.min(F.to_date("o_orderdate")), F.max(F.to_date("o_orderdate"))).first()
+    days = max(1, -(-((last - first).days + days_late + 1) // LANDINGS)) if first else 1
+    day = F.date_diff(F.to_date("o_orderdate"), F.lit(first)) + F.pmod(F.xxhash64("o_orderkey"), F.lit(days_late + 1))
+    return F.floor(day / days).cast("int"), days
+
+
 @query
 def diagnose_stream(t: Tables) -> DataFrame:
+    """Orders land in order of their dates; every tenth lands a second time with the next landing."""
+    orders = t.table("orders")
+    place, days = _landing(orders)
+    again = orders.where(F.col("o_orderkey") % 10 == 0)
+    exports = orders.withColumn("_place", place).unionByName(
+        again.withColumn("_place", F.least(place + 1, F.lit(LANDINGS - 1)))).repartition("_place")
+    path = landed(exports, F.col("_place"), LANDINGS, "exports")
     stdout, stderr = t.log_texts(F.col("o_orderkey"))
-    arriving = t.stream("orders").select(
+    arriving = one_a_trigger(t.spark, path, exports).select(
         F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("job_id"),
         t.run_status(F.col("o_orderstatus")).alias("status"), F.col("o_orderdate").cast("timestamp").alias("start_ts"),
         stdout.alias("stdout"), stderr.alias("stderr"))
-    # Order dates come in any order, so lateness covers the table's whole span.
-    live = follow.diagnose_stream(arriving, lateness=TABLE_SPAN).select("run_id", "job_id", "issue_type", "confidence", "fix_id", "fix_type",
-                                                   "fix_confidence")
-    return run_available(live, t.spark, "diagnose")
+    live = follow.diagnose_stream(arriving, lateness=f"{2 * days} days").select(
+        "run_id", "job_id", "issue_type", "confidence", "fix_id", "fix_type", "fix_confidence")
+    home = shared_folder(t.spark, "diagnose")
+    finished(ledger.batches_once(live, f"{home}/out", f"{home}/checkpoint").trigger(availableNow=True).start(), keep_all=True)
+    return ledger.read_batches(t.spark, f"{home}/out", live.schema)
 
 
-def _live_runs(t: Tables) -> DataFrame:
+@query
+def verify_stream(t: Tables) -> DataFrame:
+    """Fixes and runs land up to 30 days out of order; what the watermark has not passed at the end is ``open``."""
+    orders = t.table("orders")
+    place, _ = _landing(orders, SCRAMBLED_DAYS)
+    path = landed(orders, place, LANDINGS, "scrambled")
     _, stderr = t.log_texts(F.col("o_orderkey"))
     status = t.run_status(F.col("o_orderstatus"))
-    return t.stream("orders").select(
+    live = one_a_trigger(t.spark, path, orders).select(
         F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("job_id"), F.col("o_orderdate").alias("start_ts"),
         status.alias("status"), F.when(status == "FAILED", dx.issue_type_of(stderr)).alias("issue_type"))
-
-
-@query
-def verify_stream(t: Tables) -> DataFrame:
-    live = _live_runs(t)
     fixes = live.where(F.col("status") == "FAILED").select(
         remedy.fix_id(F.col("run_id"), F.lit("live")).alias("fix_id"), "job_id", F.col("start_ts").alias("fix_ts"), "issue_type")
-    answers = verify_live.verify_stream(fixes, live, DAY_SCALE_TIMEOUT)
-    settled = verify_live.settled(run_available(answers, t.spark, "verify"))
+    answers = verify_live.verify_stream(fixes, live, DAY_SCALE_TIMEOUT, f"{SCRAMBLED_DAYS + 1} days")
+    settled = verify_live.settled(run_available(answers, t.spark, "verify", keep_all=True))
     asked = t.suggestions.select(remedy.fix_id(F.col("run_id"), F.lit("live")).alias("fix_id"), "job_id", "issue_type")
     return verify_live.with_open(asked, settled)
 
 
 @query
 def approvals_stream(t: Tables) -> DataFrame:
-    live = approvals_live.approvals_stream(t.chat_of(t.stream("conversations")), t.job_fixes)
+    """Turns arrive over four triggers in no order at all."""
+    turns = t.table("conversations")
+    path = landed(turns, F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)), 4, "shuffled-chat")
+    live = approvals_live.approvals_stream(t.chat_of(one_a_trigger(t.spark, path, turns)), t.job_fixes)
     return run_available(live, t.spark, "approvals")

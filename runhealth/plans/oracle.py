@@ -1,7 +1,7 @@
 """DuckDB statements for the queries, written from the rules and not from the plans.
 
 ``ENTITIES`` states the mapping of test tables to runs, logs and so on; the statements below build
-on it. Queries without an entry replay messages or state and are tested in ``tests/`` instead.
+on it. What depends on order is replayed row by row in recursive statements.
 """
 
 from __future__ import annotations
@@ -242,6 +242,8 @@ SKEW = " UNION ALL ".join(f"""SELECT count(*) AS keys, sum(n)::BIGINT AS rows, m
   '{t}.{c}' AS checked FROM (SELECT count(*) AS n FROM {t} GROUP BY {c})""" for t, c in (
     ("lineitem", "l_suppkey"), ("orders", "o_custkey"), ("events", "user_id"), ("documents", "source"), ("documents", "lang"), ("pages", "url")))
 RATE = "count(*) AS total, count(*) FILTER (status = 'FAILED') AS failed, round((count(*) - count(*) FILTER (status = 'FAILED')) * 100.0 / count(*), 1)::DOUBLE AS success_rate"
+JOB_REF = r"""coalesce(nullif(regexp_extract(text, 'monitor\s+(\S+)', 1, 'i'), ''), 'job_' || coalesce(
+        nullif(regexp_extract(text, '(?:check|diagnose|analyze)\s+(?:job|run)?\s*(\d+)', 1, 'i'), ''), nullif(regexp_extract(text, 'job[_-]?(\d+)', 1, 'i'), '')))"""
 APPROVE = "(approve|yes|accept|apply)"
 BLOCK = "(don''t|not|no)"
 REJECT = "(reject|no|decline|don''t)"
@@ -272,6 +274,27 @@ def alias(name: str) -> str:
             f"WHEN {name} IN ('depend', 'dependency', 'package', 'import', 'library') THEN 'dependency_error' ELSE {name} END")
 
 
+# A replay, message by message: the fix that waits, and whether the last job named had one.
+ROUTED = f"""WITH RECURSIVE job_fixes AS (
+    SELECT 'job_' || job_id AS job_ref, fix_id FROM suggestions QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY start_ts DESC, run_id DESC) = 1),
+  messages AS (
+    SELECT m.*, f.fix_id AS offered, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM (
+      SELECT conv_id, turn, {JOB_REF} AS job_ref, coalesce(regexp_matches(text, '{APPROVE}', 'i') AND NOT regexp_matches(text, '{BLOCK}', 'i'), false) AS approves,
+        coalesce(regexp_matches(text, '{REJECT}', 'i'), false) AS rejects, coalesce(regexp_matches(text, 'simulate|test|try', 'i'), false) AS simulates,
+        coalesce(contains(lower(text), 'help') OR contains(lower(text), 'what can you do'), false) AS helps FROM chat WHERE role = 'user') m
+    LEFT JOIN job_fixes f USING (job_ref)),
+  replay(conv_id, i, waiting, found) AS (
+    SELECT DISTINCT conv_id, 1::BIGINT, NULL::VARCHAR, false FROM messages
+    UNION ALL
+    SELECT r.conv_id, r.i + 1, CASE WHEN waiting IS NOT NULL AND (approves OR rejects) THEN NULL WHEN job_ref IS NOT NULL THEN offered ELSE waiting END,
+      CASE WHEN job_ref IS NOT NULL THEN offered IS NOT NULL ELSE found END
+    FROM replay r JOIN messages m ON m.conv_id = r.conv_id AND m.i = r.i)
+  SELECT m.conv_id, m.turn, job_ref, CASE WHEN waiting IS NOT NULL AND approves THEN 'approve' WHEN waiting IS NOT NULL AND rejects THEN 'reject'
+      WHEN job_ref IS NOT NULL THEN 'monitor' WHEN simulates THEN 'ask_for_id' WHEN found THEN 'in_progress' WHEN helps THEN 'help' ELSE 'generic' END AS message_class,
+    waiting AS waiting_fix, CASE WHEN waiting IS NOT NULL AND (approves OR rejects) THEN waiting END AS decided_fix
+  FROM messages m JOIN replay r ON m.conv_id = r.conv_id AND m.i = r.i"""
+DECIDED = f"SELECT conv_id, turn, decided_fix AS fix_id, message_class AS decision FROM ({ROUTED}) WHERE decided_fix IS NOT NULL"
+
 STATEMENTS: dict[str, str] = {
     "parse_log_lines": f"""SELECT file, line_no, CASE WHEN rec THEN date_trunc('second', e.ts) END AS ts, CASE WHEN rec THEN l.level END AS level,
         CASE WHEN rec THEN l.logger END AS logger, CASE WHEN rec THEN string_split(coalesce(l.message, ''), chr(10))[1] ELSE t.value END AS message
@@ -294,6 +317,7 @@ STATEMENTS: dict[str, str] = {
         FROM resolved q LEFT JOIN runs r ON r.run_id = q.resolved_run_id LEFT JOIN run_logs l ON l.run_id = r.run_id""",
     "latest_fix": """SELECT a.fix_id, s.job_id, s.fix_type, s.fix_confidence / 2 AS confidence, s.start_ts + INTERVAL 1 HOUR AS stored_ts
         FROM approvals a LEFT JOIN suggestions s USING (fix_id)""",
+    "latest_fix_stream": """SELECT fix_id, job_id, fix_type, fix_confidence / 2 AS confidence, start_ts + INTERVAL 1 HOUR AS stored_ts FROM suggestions""",
     "write_history": "SELECT run_id, job_id, start_ts AS ts, issue_type, confidence FROM suggestions",
     "write_reports": f"SELECT run_id, start_ts, report FROM ({report('(SELECT s.*, v.outcome FROM suggestions s JOIN verified v USING (fix_id))', chr(111) + 'utcome = ' + lit('success'))})",
     "list_clusters": "SELECT cluster_id, name, state, creator, node_type, runtime, coalesce(num_workers, 0) AS num_workers FROM clusters",
@@ -333,6 +357,10 @@ STATEMENTS: dict[str, str] = {
         CASE WHEN regexp_matches(message, 'AZURE_QUOTA_EXCEEDED_EXCEPTION|QuotaExceeded') THEN 'quota' END,
         CASE WHEN regexp_matches(message, 'Connection refused|RPC timed out|unreachable during run') THEN 'timeout' END,
         CASE WHEN contains(message, 'Library resolution failed') THEN 'library' END) AS tags FROM logs""",
+    "tag_pattern_table": r"""SELECT conv_id, turn, coalesce(string_agg(name, '|' ORDER BY name), '') AS tags FROM (SELECT * FROM chat WHERE role = 'user') c LEFT JOIN (
+        SELECT conv_id, turn, 'job-' || c_custkey AS name FROM chat JOIN customer ON contains(text, 'job_' || c_custkey) AND regexp_matches(text, 'job_' || c_custkey || '\b') WHERE role = 'user'
+        UNION ALL SELECT conv_id, turn, 'check-' || c_custkey FROM chat JOIN customer ON ends_with(lower(text), 'check job ' || c_custkey) WHERE role = 'user'
+        UNION ALL SELECT conv_id, turn, 'answer' FROM chat WHERE role = 'user' AND regexp_matches(text, 'yes|approve', 'i')) USING (conv_id, turn) GROUP BY conv_id, turn""",
     "tag_own_signatures": """SELECT run_id, concat_ws('|', CASE WHEN regexp_matches(stderr, 'heap|Memory') THEN 'heap' END,
         CASE WHEN regexp_matches(stderr, '[Dd]isk') THEN 'disk' END, CASE WHEN regexp_matches(stderr, 'No module|ClassNotFound') THEN 'missing' END) AS tags FROM run_logs""",
     "approved_fixes": "SELECT fix_id, job_id, run_id, fix_type FROM suggestions WHERE fix_id IN (SELECT fix_id FROM approvals)",
@@ -351,6 +379,15 @@ STATEMENTS: dict[str, str] = {
         SELECT {class_of('action_type')} AS class, '- ' || action_type || ' by ' || coalesce(user_name, 'Unknown') AS line,
           row_number() OVER (PARTITION BY {class_of('action_type')} ORDER BY ts, event_id) AS n FROM activity)
         WHERE n <= 3 AND class <> 'unclassified' GROUP BY class""",
+    "activity_digest": f"""WITH recent AS (
+          SELECT *, {class_of('action_type')} AS class FROM activity WHERE ts >= (SELECT max(ts) - INTERVAL 7 DAYS FROM activity)),
+        shown AS (
+          SELECT class, string_agg('- ' || action_type || ' by ' || coalesce(user_name, 'Unknown'), chr(10) ORDER BY ts, event_id) AS examples
+          FROM (SELECT * FROM recent WHERE class <> 'unclassified' QUALIFY row_number() OVER (PARTITION BY class ORDER BY ts, event_id) <= 3) GROUP BY class)
+        SELECT 'Total activities: ' || (SELECT count(*) FROM recent) || chr(10) || 'Time period: last 7 days'
+          || (SELECT string_agg(chr(10) || label || ' activities: ' || (SELECT count(*) FROM recent WHERE recent.class = c.class), '' ORDER BY place)
+              FROM (VALUES (1, 'Cluster', 'clusters'), (2, 'Job', 'jobs'), (3, 'Notebook', 'notebooks'), (4, 'Warehouse', 'warehouses')) c(place, label, class))
+          || coalesce((SELECT string_agg(chr(10) || chr(10) || 'Example ' || class || ':' || chr(10) || examples, '' ORDER BY class) FROM shown), '') AS digest""",
     "job_health": f"SELECT {RATE} FROM runs",
     "job_health_by_job": f"SELECT job_id, {RATE} FROM runs GROUP BY job_id",
     "cluster_health": """SELECT count(*) AS total, count(*) FILTER (state = 'RUNNING') AS running, count(*) FILTER (state = 'TERMINATED') AS terminated,
@@ -359,9 +396,13 @@ STATEMENTS: dict[str, str] = {
         FROM runs r LEFT JOIN clusters c USING (cluster_id) GROUP BY ROLLUP (c.state, r.cluster_id, r.job_id)""",
     "issue_summary": f"""SELECT issue_type, {band('confidence')} AS severity, outcome AS fix_status, count(*) AS issues, count(DISTINCT job_id) AS jobs
         FROM verified GROUP BY ALL""",
+    "issue_jobs_by_day": "SELECT issue_type, count(*) AS issues, true AS within_bound FROM suggestions GROUP BY issue_type",
     "confidence_histogram": f"SELECT {band('fix_confidence')} AS band, count(*) AS reports FROM suggestions GROUP BY ALL",
     "data_skew": SKEW,
     "top_keys": "SELECT o_custkey AS key, count(*) AS rows FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "heaviest_keys": " UNION ALL ".join(
+        f"(SELECT '{table}.{column}' AS checked, {column}::VARCHAR AS key, count(*) AS rows FROM {table} GROUP BY {column} ORDER BY 3 DESC, {column} LIMIT 10)"
+        for table, column in (("lineitem", "l_suppkey"), ("orders", "o_custkey"), ("events", "user_id"), ("documents", "source"), ("documents", "lang"), ("pages", "url"))),
     "resource_utilisation": f"""WITH newest AS (
         SELECT l_suppkey AS cluster_id, CASE WHEN l_linenumber = 1 THEN 'driver' ELSE 'worker' END AS node_role, l_linenumber, l_quantity AS used, 50.0::DOUBLE AS total,
           CASE l_returnflag WHEN 'A' THEN 'cpu' WHEN 'N' THEN 'memory' ELSE 'disk' END AS resource, l_quantity * 100 / 50 AS pct FROM lineitem
@@ -375,6 +416,7 @@ STATEMENTS: dict[str, str] = {
     "api_errors": "SELECT operation, error_type, count(*) AS failures FROM api_calls WHERE NOT success GROUP BY ALL",
     "response_latency": """SELECT operation, success, count(*) AS calls, sum(duration_seconds::DECIMAL(18,6))::DOUBLE / count(duration_seconds) AS avg_seconds,
         max(duration_seconds) AS max_seconds FROM api_calls GROUP BY ALL""",
+    "latency_percentiles": "SELECT operation, count(*) AS calls, true AS p50_near, true AS p90_near, true AS p99_near FROM api_calls GROUP BY operation",
     "entry_counts": "SELECT run_id, count(*) AS entries FROM logs GROUP BY run_id",
     "fix_effectiveness": """SELECT fix_type, attempt, count(*) AS verified, count(*) FILTER (outcome = 'success') AS successful,
         round(count(*) FILTER (outcome = 'success') * 100.0 / count(*), 4)::DOUBLE AS success_rate
@@ -396,6 +438,9 @@ STATEMENTS: dict[str, str] = {
     "digest_text": """SELECT run_id, count(*)::INT AS log_count, any_value(n) > 10 AS truncated, string_agg(line, chr(10) ORDER BY position) AS digest FROM (
         SELECT run_id, '[' || coalesce(strftime(ts, '%Y-%m-%d %H:%M:%S'), 'Unknown') || '] ' || coalesce(message, 'No message') AS line,
           row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS position, count(*) OVER (PARTITION BY run_id) AS n FROM logs) WHERE position <= 10 GROUP BY run_id""",
+    "digest_text_all": """SELECT run_id, (position - 1) // 10 AS chunk, count(*)::INT AS log_count, string_agg(line, chr(10) ORDER BY position) AS digest FROM (
+        SELECT run_id, '[' || coalesce(strftime(ts, '%Y-%m-%d %H:%M:%S'), 'Unknown') || '] ' || coalesce(message, 'No message') AS line,
+          row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS position FROM logs) GROUP BY ALL""",
     "history_newest_first": """SELECT run_id, job_id, start_ts AS ts, issue_type,
         strftime(start_ts, '%Y-%m-%d %H:%M:%S') || ' - Job: ' || job_id || ' - Issue: ' || issue_type AS label FROM suggestions""",
     "attempt_number": """SELECT fix_id, job_id, issue_type, attempt, attempt <= 5 AS within_limit FROM (
@@ -446,9 +491,10 @@ STATEMENTS: dict[str, str] = {
         CASE WHEN regexp_matches(text, 'memory|oom', 'i') THEN 'memory_exceeded' WHEN regexp_matches(text, 'disk|space|storage', 'i') THEN 'disk_space_exceeded'
         WHEN regexp_matches(text, 'depend|package|import|library', 'i') THEN 'dependency_error' END AS keyword,
         coalesce(contains(lower(text), 'help') OR contains(lower(text), 'what can you do'), false) AS helps FROM chat""",
-    "parse_job_id": r"""SELECT conv_id, turn, coalesce(nullif(regexp_extract(text, 'monitor\s+(\S+)', 1, 'i'), ''), 'job_' || coalesce(
-        nullif(regexp_extract(text, '(?:check|diagnose|analyze)\s+(?:job|run)?\s*(\d+)', 1, 'i'), ''), nullif(regexp_extract(text, 'job[_-]?(\d+)', 1, 'i'), ''))) AS job_ref
-        FROM chat""",
+    "parse_job_id": f"SELECT conv_id, turn, {JOB_REF} AS job_ref FROM chat",
+    "route_messages": ROUTED,
+    "chat_decisions": DECIDED,
+    "approvals_stream": DECIDED,
     "result_badge": """SELECT doc_id, CASE WHEN regexp_matches(lower(content), 'success|passed|resolved') THEN 'ok' WHEN regexp_matches(lower(content), 'warning|caution|attention') THEN 'warn'
         WHEN regexp_matches(lower(content), 'error|failed|issue') THEN 'error' ELSE 'info' END AS badge FROM verdicts""",
     "state_kind": f"SELECT {kind_of('state')} AS kind, count(*) AS n FROM states GROUP BY ALL",
@@ -456,6 +502,13 @@ STATEMENTS: dict[str, str] = {
     "sql_functions": f"""SELECT run_id, {keyword('stderr')} AS issue_type, {band('(length(stderr) / 100.0::DOUBLE)')} AS band, {alias("string_split(stderr, ' ')[1]")} AS aliased,
         'job_' || run_id AS job_ref FROM run_logs""",
     "follow_states": f"SELECT file, line_no, ts, state, {kind_of('state')} AS kind FROM states",
+    "follow_growing_logs": f"SELECT ts, state, {kind_of('state')} AS kind FROM states",
+    # Settled: the watermark, 31 days behind the newest row, has passed the fix's deadline.
+    "verify_stream": """SELECT sha256(run_id || '|live') AS fix_id, job_id::VARCHAR AS job_id, issue_type,
+          CASE WHEN closed THEN next_run_id::VARCHAR END AS next_run_id, CASE WHEN closed THEN next_status END AS next_status,
+          CASE WHEN closed THEN outcome ELSE 'open' END AS outcome
+        FROM (SELECT v.*, s.run_id, fix_ts + INTERVAL 200 DAYS <= (SELECT max(o_orderdate) - INTERVAL 31 DAYS FROM orders WHERE o_orderstatus <> 'P') AS closed
+              FROM verified v JOIN suggestions s USING (fix_id))""",
     "diagnose_stream": "SELECT run_id, job_id, issue_type, confidence, fix_id, fix_type, fix_confidence FROM suggestions",
     "reasoning_steps": """SELECT run_id, u.at::INT AS "at", u.step, u.details, u.result FROM (SELECT run_id, unnest([
         {'at': 0, 'step': 'log_analysis', 'details': 'Read the run''s logs for known error patterns', 'result': 'Log text collected for diagnosis'},

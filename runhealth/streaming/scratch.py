@@ -6,7 +6,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 RUN_SECONDS = 3600
@@ -42,16 +43,32 @@ def keyed_state_store(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(STATE_STORE_CONF, before)
 
 
-def run_available(stream: DataFrame, spark: SparkSession, purpose: str) -> DataFrame:
+def finished(query: StreamingQuery, seconds: int = RUN_SECONDS, keep_all: bool = False) -> None:
+    """Wait for a stream over what is there; ``keep_all`` raises if the watermark dropped rows."""
+    if not query.awaitTermination(seconds):
+        query.stop()
+        raise TimeoutError(f"the stream did not finish in {seconds} s")
+    dropped = sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+    if keep_all and dropped:
+        raise ValueError(f"the watermark dropped {dropped} rows")
+
+
+def run_available(stream: DataFrame, spark: SparkSession, purpose: str, seconds: int = RUN_SECONDS, keep_all: bool = False) -> DataFrame:
     """Run a stream over what is there now into a parquet table and read that back."""
     home = shared_folder(spark, purpose)
     with keyed_state_store(spark):
-        query = (
-            stream.writeStream.format("parquet").outputMode("append")
-            .option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint")
-            .trigger(availableNow=True).start()
-        )
-        if not query.awaitTermination(RUN_SECONDS):
-            query.stop()
-            raise TimeoutError(f"{purpose}: the stream did not finish in {RUN_SECONDS} s")
+        finished(stream.writeStream.format("parquet").outputMode("append").option("path", f"{home}/out")
+                 .option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start(), seconds, keep_all)
     return spark.read.schema(stream.schema).parquet(f"{home}/out")
+
+
+def landed(df: DataFrame, place: Column, n: int, purpose: str) -> str:
+    """Write the rows with ``place`` 0, 1, ... n - 1 as files one after the other, for a stream that takes one a trigger."""
+    path = shared_folder(df.sparkSession, purpose)
+    for i in range(n):
+        df.where(place == i).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def one_a_trigger(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1).parquet(path)

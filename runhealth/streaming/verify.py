@@ -1,7 +1,7 @@
 """Check fixes against later runs as both arrive.
 
-Time is cut into buckets one timeout long, so the runs that can answer a fix lie
-in its own bucket or the next. Work is keyed by (job, bucket), never by job
+Time is cut into buckets, by default one timeout long, so the runs that can answer a fix lie
+in its own bucket or the next ones. Work is keyed by (job, bucket), never by job
 alone: a job with a third of all runs is spread over as many keys as buckets.
 """
 
@@ -14,21 +14,17 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from runhealth.functions.text import epoch_seconds
-from runhealth.operators.verify import FINISHED, TIMEOUT_SECONDS, outcome
+from runhealth.operators.verify import DAY, FINISHED, TIMEOUT_SECONDS, outcome
 
-ROW = "kind int, id string, at bigint, deadline bigint, issue_type string, status string, buckets int"
 ANSWER = ("fix_id string, job_id string, fix_issue string, buckets int, next_run_id string, "
           "next_at bigint, next_status string, next_issue string")
 RUN, FIX = 0, 1
-WHOLE = {"kind", "at", "deadline", "buckets"}
 
 
-def _names(ddl: str) -> list[str]:
-    return [part.split()[0] for part in ddl.split(", ")]
-
-
-def arrivals(fixes: DataFrame, runs: DataFrame, timeout_seconds: int = TIMEOUT_SECONDS) -> DataFrame:
+def arrivals(fixes: DataFrame, runs: DataFrame, timeout_seconds: int = TIMEOUT_SECONDS,
+             bucket_seconds: int | None = None) -> DataFrame:
     """Fixes and finished runs as one stream; a fix is put in each bucket its wait touches."""
+    width = bucket_seconds or timeout_seconds
     at = epoch_seconds(F.col("ts"))
     run_rows = runs.where(F.col("status").isin(FINISHED)).select(
         F.col("job_id").cast("string").alias("job_id"), F.col("start_ts").cast("timestamp").alias("ts"),
@@ -40,66 +36,109 @@ def arrivals(fixes: DataFrame, runs: DataFrame, timeout_seconds: int = TIMEOUT_S
         (epoch_seconds(F.col("fix_ts")) + timeout_seconds).alias("deadline"), "issue_type",
         F.lit(None).cast("string").alias("status"))
     both = run_rows.unionByName(fix_rows).withColumn("at", at)
-    first = F.floor(F.col("at") / timeout_seconds).cast("bigint")
-    last = F.floor(F.coalesce("deadline", "at") / timeout_seconds).cast("bigint")
+    first = F.floor(F.col("at") / width).cast("bigint")
+    last = F.floor(F.coalesce("deadline", "at") / width).cast("bigint")
     return (
         both.withColumn("buckets", (last - first + 1).cast("int"))
         .withColumn("bucket", F.explode(F.sequence(first, last)))
     )
 
 
-class BucketAnswers(StatefulProcessor):
-    """When a bucket is closed by the watermark, pair its fixes with its runs."""
+RUNS = "ats array<bigint>, ids array<string>, statuses array<string>, issues array<string>"
+OPEN = "at bigint, deadline bigint, issue_type string, buckets int"
+
+
+def _text(value) -> str | None:
+    return None if pd.isna(value) else value
+
+
+def _firsts(runs: pd.DataFrame) -> pd.DataFrame:
+    """The first run of each time, in order of time: smaller number, then id."""
+    number = pd.to_numeric(runs["id"], errors="coerce")
+    return runs.assign(_number=number).sort_values(["at", "_number", "id"]).drop_duplicates("at").drop(columns="_number")
 
-    def __init__(self, timeout_seconds: int):
-        self.timeout_seconds = timeout_seconds
+
+class FixTimers(StatefulProcessor):
+    """The open fixes of a job and bucket, a timer each, and its runs in a map by day.
+
+    A fix is answered when the watermark passes its deadline, or the end of the bucket where that comes first, from the days it
+    spans. A day goes when no open fix and no row that may still come can need it.
+    """
+
+    def __init__(self, bucket_seconds: int):
+        self.bucket_seconds = bucket_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", ROW)
+        self.runs = handle.getMapState("runs", "day bigint", RUNS)
+        self.fixes = handle.getMapState("fixes", "fix_id string", OPEN)
+
+    def _day(self, day: int) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("at", "id", "status", "issue_type"), self.runs.getValue((day,)))))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            columns = [[None if pd.isna(x) else int(x) if name in WHOLE else x for x in frame[name].tolist()] for name in _names(ROW)]
-            self.rows.appendList(list(zip(*columns)))
-        self.handle.registerTimer((int(key[1]) + 1) * self.timeout_seconds * 1000)
+        frame = pd.concat(list(rows))
+        bucket_end = (int(key[1]) + 1) * self.bucket_seconds
+        runs = frame[frame["kind"] == RUN]
+        for day, some in runs.groupby(runs["at"] // DAY):
+            day = int(day)
+            some = some[["at", "id", "status", "issue_type"]]
+            known = _firsts(pd.concat([self._day(day), some]) if self.runs.containsKey((day,)) else some)
+            self.runs.updateValue((day,), (
+                [int(x) for x in known["at"]], known["id"].tolist(), known["status"].tolist(), [_text(x) for x in known["issue_type"]]))
+        for fix in frame[frame["kind"] == FIX].itertuples(index=False):
+            self.fixes.updateValue((fix.id,), (int(fix.at), int(fix.deadline), _text(fix.issue_type), int(fix.buckets)))
+            self.handle.registerTimer(min(int(fix.deadline), bucket_end) * 1000)
+        self.handle.registerTimer(bucket_end * 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(list(self.rows.get()), columns=_names(ROW))
-        self.rows.clear()
-        runs, fixes = held[held.kind == RUN], held[held.kind == FIX]
-        if fixes.empty:
-            return
-        fixes = fixes.astype({"at": "int64", "deadline": "int64", "buckets": "int64"}).sort_values("at")
-        runs = runs.astype({"at": "int64"}).assign(
-            number=pd.to_numeric(runs.id, errors="coerce")).sort_values(["at", "number", "id"])
-        firsts = runs.drop_duplicates("at")[["at", "id", "status", "issue_type"]].rename(
+        bucket_end = (int(key[1]) + 1) * self.bucket_seconds
+        now = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        fixes = pd.DataFrame([(*k, *v) for k, v in self.fixes.iterator()], columns=["fix_id", "at", "deadline", "fix_issue", "buckets"])
+        due = fixes[fixes["deadline"].clip(upper=bucket_end) <= now].sort_values("at")
+        days = sorted(int(k[0]) for k in self.runs.keys())
+        if len(due):
+            first, last = int(due["at"].min()) // DAY, int(due["deadline"].max()) // DAY
+            held = [self._day(day) for day in days if first <= day <= last]
+            yield self._answers(str(key[0]), due, pd.concat(held) if held else None)
+            for fix_id in due["fix_id"]:
+                self.fixes.removeKey((fix_id,))
+        # Rows at or before the watermark are dropped, so a fix still to come is later than that.
+        watermark = timerValues.getCurrentWatermarkInMs() // 1000
+        needed = min([watermark, *fixes["at"][~fixes["fix_id"].isin(due["fix_id"])]]) // DAY
+        for day in days:
+            if day < needed or now >= bucket_end:
+                self.runs.removeKey((day,))
+
+    @staticmethod
+    def _answers(job: str, due: pd.DataFrame, runs: pd.DataFrame | None) -> pd.DataFrame:
+        empty = pd.DataFrame({"next_at": pd.Series(dtype="int64"), "next_run_id": [], "next_status": [], "next_issue": []})
+        firsts = empty if runs is None else runs.sort_values("at").rename(
             columns={"at": "next_at", "id": "next_run_id", "status": "next_status", "issue_type": "next_issue"})
-        paired = pd.merge_asof(fixes, firsts, left_on="at", right_on="next_at", direction="forward",
-                               allow_exact_matches=False)
-        late = ~(paired.next_at <= paired.deadline)
+        paired = pd.merge_asof(due.astype({"at": "int64"}), firsts.astype({"next_at": "int64"}), left_on="at", right_on="next_at",
+                               direction="forward", allow_exact_matches=False)
+        late = ~(paired["next_at"] <= paired["deadline"])
         answer = pd.DataFrame({
-            "fix_id": paired.id, "job_id": str(key[0]), "fix_issue": paired.issue_type,
-            "buckets": paired.buckets.astype("int32"), "next_run_id": paired.next_run_id,
-            "next_at": paired.next_at.astype("Int64"), "next_status": paired.next_status,
-            "next_issue": paired.next_issue})
-        found = ["next_run_id", "next_at", "next_status", "next_issue"]
-        answer.loc[late, found] = None
-        yield answer
+            "fix_id": paired["fix_id"], "job_id": job, "fix_issue": paired["fix_issue"], "buckets": paired["buckets"].astype("int32"),
+            "next_run_id": paired["next_run_id"].astype(object), "next_at": paired["next_at"].astype("Int64"),
+            "next_status": paired["next_status"].astype(object), "next_issue": paired["next_issue"].astype(object)})
+        answer.loc[late, ["next_run_id", "next_at", "next_status", "next_issue"]] = None
+        return answer
 
 
 def verify_stream(fixes: DataFrame, runs: DataFrame, timeout_seconds: int = TIMEOUT_SECONDS,
-                  lateness: str | None = None) -> DataFrame:
+                  lateness: str | None = None, bucket_seconds: int | None = None) -> DataFrame:
     """One row per fix and bucket: the first run that answers it there, or none.
 
-    Rows later than ``lateness`` (by default the timeout) are dropped. Read the
-    result with ``settled``.
+    Fixes and runs may arrive in any order and over any number of triggers; rows later than ``lateness`` (by default the
+    timeout) are dropped by the watermark, and a fix is answered once that passes its deadline. Buckets are one timeout long, or
+    ``bucket_seconds`` where one timeout of a job's runs is too much for one task. Read the result with ``settled``.
     """
-    both = arrivals(fixes, runs, timeout_seconds).withWatermark("ts", lateness or f"{timeout_seconds} seconds")
+    width = bucket_seconds or timeout_seconds
+    both = arrivals(fixes, runs, timeout_seconds, width).withWatermark("ts", lateness or f"{timeout_seconds} seconds")
     return both.groupBy("job_id", "bucket").transformWithStateInPandas(
-        statefulProcessor=BucketAnswers(timeout_seconds), outputStructType=ANSWER,
-        outputMode="append", timeMode="EventTime")
+        statefulProcessor=FixTimers(width), outputStructType=ANSWER, outputMode="append", timeMode="EventTime")
 
 
 def with_open(fixes: DataFrame, settled_fixes: DataFrame) -> DataFrame:
