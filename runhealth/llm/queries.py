@@ -68,7 +68,7 @@ def chat_format(spark: SparkSession, path: str) -> DataFrame:
 
 def lm_scoring(spark: SparkSession, path: str) -> DataFrame:
     good = table(spark, path, "labels").where("quality = 1").select("doc_id")
-    return word_scoring.score_documents(table(spark, path, "documents"), good)
+    return word_scoring.score_documents(table(spark, path, "documents"), good, stored=True)
 
 
 def repaired_turns(spark: SparkSession, path: str) -> DataFrame:

@@ -30,12 +30,14 @@ def brute_model(texts, vocabulary):
     return bits
 
 
-def test_equals_brute_force(spark, edge_docs, edge_rows):
+@pytest.mark.parametrize("size", [300, 12 << 20])
+def test_equals_brute_force(spark, monkeypatch, edge_docs, edge_rows, size):
+    monkeypatch.setattr(word_scoring, "BLOCK_BYTES", size)
     targets = {0, 7, 60, 50}
     frame = spark.createDataFrame([(i, 1) for i in [*targets, 0, None, 999]], "doc_id long, quality int")
-    size = len({w for _, t, *_ in edge_rows for w in words(t)})
-    target = brute_model([t for d, t, *_ in edge_rows if d in targets], size)
-    every = brute_model([t for _, t, *_ in edge_rows], size)
+    vocabulary = len({w for _, t, *_ in edge_rows for w in words(t)})
+    target = brute_model([t for d, t, *_ in edge_rows if d in targets], vocabulary)
+    every = brute_model([t for _, t, *_ in edge_rows], vocabulary)
     want = []
     for d, t, *_ in edge_rows:
         found = words(t)
@@ -70,8 +72,24 @@ def test_no_targets_and_no_documents(spark, edge_docs, edge_rows, no_docs):
     assert word_scoring.score_documents(no_docs, nobody).count() == 0
 
 
-def test_pairs_are_counted():
-    before, word, n = word_scoring.bigrams("a b a b a c")
-    assert sorted(n.tolist()) == [1, 1, 2, 2] and len(before) == len(word) == 4
-    assert int((before == np.uint64(0)).sum()) == 1
-    assert all(len(x) == 0 for x in word_scoring.bigrams(None))
+def test_events_of_a_block_are_counted():
+    reader = word_scoring.Reader()
+    for doc, text, target in ((1, "a b a b a c", True), (2, None, True), (3, "a b", False)):
+        reader.add({"doc_id": doc, "text": text, "target": target})
+    block = reader.block()
+    words_, heads, pairs = block.sections
+    assert (words_, heads, pairs) == (3, 3, 4)  # a b c; start a b; start-a a-b b-a a-c
+    assert sorted(block.every[:3]) == [1, 3, 4] and sorted(block.chosen[:3]) == [1, 2, 3]
+    assert sorted(block.every[6:]) == [1, 2, 2, 3] and block.every[:3].sum() == block.every[3:6].sum() == block.every[6:].sum() == 8
+    again = word_scoring.Block(block.hashes, block.codes, block.n_words, block.target)
+    assert (again.keys == block.keys).all() and (again.every == block.every).all()
+    for n in (1, 3, 7):
+        split = list(block.buckets(n))
+        assert sorted(i for _, mine in split for i in mine) == list(range(10)) and len({b for b, _ in split}) == len(split)
+
+
+def test_equal_blocks_are_scored_each(spark, monkeypatch):
+    monkeypatch.setattr(word_scoring, "BLOCK_BYTES", 5)
+    frame = spark.createDataFrame([(1, "a b c")] * 4 + [(2, "c b a")] * 2, "doc_id long, text string").repartition(3)
+    got = word_scoring.score_documents(frame, spark.createDataFrame([(1,)], "doc_id long")).collect()
+    assert len(got) == 6 and len({tuple(r) for r in got}) == 2 and all((r["score"] < 0) == (r["doc_id"] == 1) for r in got)
