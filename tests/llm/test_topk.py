@@ -11,16 +11,14 @@ SCHEMA = "vec_id long, embedding array<float>, label int, v string, block int, s
 
 
 def brute(rows, every=50, k=5):
-    vectors = {}
+    vectors = []
     for vec_id, x, *_ in rows:
-        if vec_id is None or x is None or any(c is None or not math.isfinite(c) for c in x):
-            continue
-        v = [math.floor(256 * float(np.float32(c))) for c in x]
-        vectors[vec_id] = min(v, vectors.get(vec_id, v))
+        if vec_id is not None and x is not None and all(c is not None and math.isfinite(c) for c in x):
+            vectors.append((vec_id, [math.floor(256 * float(np.float32(c))) for c in x]))
     out = []
-    for q, x in vectors.items():
+    for at, (q, x) in enumerate(vectors):
         if q % every == 0:
-            best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in vectors.items() if i != q)[:k]
+            best = sorted((-sum(a * b for a, b in zip(x, y)), i) for j, (i, y) in enumerate(vectors) if j != at)[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return sorted(out)
 
@@ -44,7 +42,7 @@ def test_equals_brute_force(spark, monkeypatch, spread, block):
 
 def test_edges(spark):
     odd = [(0, [1.0, 2.0]), (50, None), (100, [1.0, None]), (150, [float("nan"), 1.0]), (200, [float("inf"), 0.0]), (None, [1.0, 1.0]),
-           (1, [3.0]), (250, []), (2, [-1.0, -5.0, 4.0]), (300, [0.0, 0.0]), (0, [1.0, 2.0]), (2, [-1.0, -6.0])]
+           (1, [3.0]), (250, []), (2, [-1.0, -5.0, 4.0]), (300, [0.0, 0.0]), (0, [1.0, 2.0]), (2, [-1.0, -6.0]), (0, [1.0, 3.0]), (350, [2.0 ** 22, 1.0]), (351, [2.0 ** 22, 1.0])]
     found = [(i, x, 0, "v", 1, 2) for i, x in odd]
     assert sorted(map(tuple, topk.top_k(spark.createDataFrame(found, SCHEMA)).collect())) == brute(found)
     assert topk.top_k(spark.createDataFrame([], SCHEMA)).count() == 0
@@ -60,3 +58,12 @@ def test_search_stops_early_only_with_proof():
     want = np.lexsort((np.arange(3000), -scores))[:5]
     rows_, got = index.search(vectors[0], 0, 5)
     assert rows_.tolist() == want.tolist() and got.tolist() == scores[want].tolist()
+
+
+def test_large_components_are_scored_in_full_or_raise(spark):
+    found = [(0, [2.0 ** 50, 1.0]), (50, [3.0, 2.0]), (1, [2.0, -5.0]), (2, [5.0, 1.0])]
+    rows_ = [(i, x, 0, "v", 1, 2) for i, x in found]
+    assert sorted(map(tuple, topk.top_k(spark.createDataFrame(rows_[1:], SCHEMA)).collect())) == brute(rows_[1:])
+    for bad in (2.0 ** 50, 2.0 ** 60):
+        with pytest.raises(Exception, match="fit a long"):
+            topk.top_k(spark.createDataFrame([(0, [bad], 0, "v", 1, 2), (1, [bad], 0, "v", 1, 2)], SCHEMA)).collect()
