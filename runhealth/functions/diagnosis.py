@@ -221,21 +221,19 @@ def step(name: str, details: Column, result: Column) -> Column:
 
 
 def reasoning_steps(issue_type: Column, confidence: Column, evidence: Column) -> Column:
-    """The three steps every diagnosis reports, with defaults for missing values."""
+    """What each step of a diagnosis took in and gave out, in counts and values; missing values count as none."""
+    lines = F.coalesce(evidence, lit_array([]))
+    n = F.size(lines).cast("string")
     return F.array(
-        step("log_analysis", F.lit("Read the run's logs for known error patterns"),
-             F.lit("Log text collected for diagnosis")),
-        step("issue_identification",
-             F.concat(F.lit("Identified issue type: "), F.coalesce(issue_type, F.lit(UNKNOWN))),
-             F.concat(F.lit("Confidence: "), F.coalesce(confidence, F.lit(0.0)).cast("string"))),
-        step("evidence_collection", F.lit("Kept the lines that support the diagnosis"),
-             F.array_join(F.coalesce(evidence, lit_array([])), "\n")),
+        step("log_analysis", F.concat(F.lit("lines with a sign: "), n), F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit("-"))),
+        step("issue_identification", F.concat(F.lit("issue="), F.coalesce(issue_type, F.lit(UNKNOWN))),
+             F.concat(F.lit("confidence="), F.coalesce(confidence, F.lit(0.0)).cast("string"))),
+        step("evidence_collection", F.concat(n, F.lit(" lines")), F.array_join(lines, "\n")),
     )
 
 
 def with_fix_step(reasoning: Column, fix_type: Column, description: Column) -> Column:
-    """Append the remedy step, or the step that says none was found."""
-    found = step("fix_suggestion", F.coalesce(description, F.lit("Chose a fix from the diagnosis")),
-                 F.concat(F.lit("Suggested fix type: "), fix_type))
-    none = step("fix_suggestion", F.lit("Looked for a fix"), F.lit("No suitable fix was found"))
-    return F.concat(reasoning, F.array(F.when(fix_type.isNotNull(), found).otherwise(none)))
+    """Append what the remedy step chose; ``fix=-`` if it chose nothing."""
+    chosen = F.coalesce(fix_type, F.lit("-"))
+    details = F.when(fix_type.isNotNull(), F.coalesce(description, F.lit("-"))).otherwise(F.lit("-"))
+    return F.concat(reasoning, F.array(step("fix_suggestion", details, F.concat(F.lit("fix="), chosen))))

@@ -26,7 +26,8 @@ def data_skew(df: DataFrame, column: str, threshold: float = SKEW_THRESHOLD) ->
     """Largest key against the average key; null counts as a key.
 
     Counting is partial before the shuffle, so the skew being measured does not
-    skew the measurement.
+    skew the measurement. ``recommendation`` is the number of salts that brings the
+    largest key down to the average.
     """
     ratio = F.max("rows") / F.avg("rows")
     return (
@@ -35,8 +36,7 @@ def data_skew(df: DataFrame, column: str, threshold: float = SKEW_THRESHOLD) ->
              F.round(ratio, 6).alias("skew_ratio"))
         .withColumn("skew_detected", F.col("skew_ratio") > threshold)
         .withColumn("recommendation", F.when(
-            F.col("skew_detected"), F.lit("Repartition the data or salt the hot keys."))
-            .otherwise(F.lit("No action needed.")))
+            F.col("skew_detected"), F.concat(F.lit("salt: "), F.ceil("skew_ratio").cast("string"))).otherwise(F.lit("salt: 1")))
     )
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from runhealth.functions import diagnosis as dx, guards, intent, remedy, reporting, sqlfuncs, text
+from runhealth.functions import actions, diagnosis as dx, guards, intent, remedy, reporting, sqlfuncs, text
 from runhealth.operators import chat, health, history, inventory, lookups, metrics, patterns, sketches, verify
 from runhealth.plans import incident
 from runhealth.plans.bindings import FAILURE_NAMES, LOGGER, Tables, pick
@@ -840,6 +840,20 @@ def suggest_fix_json(t: Tables) -> DataFrame:
             .select("run_id", "a.fix_type", "a.fix_confidence", F.array_join("a.packages", "|").alias("packages"), "a.error"))
 
 
+@query
+def sql_actions(t: Tables) -> DataFrame:
+    """The five actions, one after the other, called from SQL for every run."""
+    checked = verify.verify_next_run(t.fixes, t.issue_runs, DAY_SCALE_TIMEOUT).join(t.suggestions.select("fix_id", "run_id"), "fix_id")
+    actions.register_actions(t.spark, t.runs, t.clusters, checked)
+    return t.spark.sql("""
+        SELECT q.run_id, d.issue_type, s.fix_type, s.fix_confidence, d.error AS diagnose_error, a.cluster_id, a.target_workers, a.payload,
+               a.error AS apply_error, v.outcome, v.next_run_id, v.error AS verify_error, r.report, r.error AS report_error
+        FROM {requests} q, LATERAL diagnose_logs(q.logs) d, LATERAL suggest_fix_for(d.issue_type, q.logs) s,
+             LATERAL apply_fix(q.run_id, s.fix_type, s.parameters) a, LATERAL verify_fix(q.run_id) v,
+             LATERAL report_for(d.issue_type, IF(q.run_id % 7 = 0, 'no steps', concat('[{{"step":"verify","result":"', coalesce(v.outcome, '-'), '"}}]')),
+                                v.outcome = 'success') r""", requests=_logs_json(t))
+
+
 # -- streams ---------------------------------------------------------------------------------------
 
 @query

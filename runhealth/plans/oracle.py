@@ -6,6 +6,7 @@ on it. What depends on order is replayed row by row in recursive statements.
 
 from __future__ import annotations
 
+from runhealth.functions import reporting
 from runhealth.plans.bindings import FAILURE_NAMES, LOGGER, STATES, STDERR, STDOUT
 
 
@@ -52,6 +53,10 @@ def by_issue(memory: str, disk: str, dependency: str, other: str, column: str =
             f"WHEN 'dependency_error' THEN {dependency} ELSE {other} END")
 
 
+def guided(texts: dict[str, str]) -> str:
+    return by_issue(*[lit(texts[k]) for k in ("memory_exceeded", "disk_space_exceeded", "dependency_error", "unknown")], "p.issue_type")
+
+
 def band(x: str) -> str:
     return f"CASE WHEN {x} * 100 >= 80 THEN 'high' WHEN {x} * 100 >= 50 THEN 'moderate' WHEN {x} * 100 > 0 THEN 'low' ELSE 'unavailable' END"
 
@@ -238,7 +243,7 @@ def response(rows: str) -> str:
 
 SINCE = "ts >= (SELECT max(ts) FROM {0}) - INTERVAL 7 DAYS"
 SKEW = " UNION ALL ".join(f"""SELECT count(*) AS keys, sum(n)::BIGINT AS rows, max(n) AS max_rows, round(max(n) / avg(n), 6) AS skew_ratio,
-  round(max(n) / avg(n), 6) > 2 AS skew_detected, CASE WHEN round(max(n) / avg(n), 6) > 2 THEN 'Repartition the data or salt the hot keys.' ELSE 'No action needed.' END AS recommendation,
+  round(max(n) / avg(n), 6) > 2 AS skew_detected, 'salt: ' || CASE WHEN round(max(n) / avg(n), 6) > 2 THEN ceil(round(max(n) / avg(n), 6))::BIGINT ELSE 1 END AS recommendation,
   '{t}.{c}' AS checked FROM (SELECT count(*) AS n FROM {t} GROUP BY {c})""" for t, c in (
     ("lineitem", "l_suppkey"), ("orders", "o_custkey"), ("events", "user_id"), ("documents", "source"), ("documents", "lang"), ("pages", "url")))
 RATE = "count(*) AS total, count(*) FILTER (status = 'FAILED') AS failed, round((count(*) - count(*) FILTER (status = 'FAILED')) * 100.0 / count(*), 1)::DOUBLE AS success_rate"
@@ -511,12 +516,11 @@ STATEMENTS: dict[str, str] = {
               FROM verified v JOIN suggestions s USING (fix_id))""",
     "diagnose_stream": "SELECT run_id, job_id, issue_type, confidence, fix_id, fix_type, fix_confidence FROM suggestions",
     "reasoning_steps": """SELECT run_id, u.at::INT AS "at", u.step, u.details, u.result FROM (SELECT run_id, unnest([
-        {'at': 0, 'step': 'log_analysis', 'details': 'Read the run''s logs for known error patterns', 'result': 'Log text collected for diagnosis'},
-        {'at': 1, 'step': 'issue_identification', 'details': 'Identified issue type: ' || issue_type,
-         'result': 'Confidence: ' || CASE WHEN blank THEN '0.1' ELSE '0.6' END},
-        {'at': 2, 'step': 'evidence_collection', 'details': 'Kept the lines that support the diagnosis', 'result': array_to_string(evidence, chr(10))},
-        {'at': 3, 'step': 'fix_suggestion', 'details': CASE WHEN issue_detected THEN description ELSE 'Looked for a fix' END,
-         'result': CASE WHEN issue_detected THEN 'Suggested fix type: ' || fix_type ELSE 'No suitable fix was found' END}]) AS u FROM suggestions)""",
+        {'at': 0, 'step': 'log_analysis', 'details': 'lines with a sign: ' || len(evidence), 'result': coalesce(evidence[1], '-')},
+        {'at': 1, 'step': 'issue_identification', 'details': 'issue=' || issue_type, 'result': 'confidence=' || CASE WHEN blank THEN '0.1' ELSE '0.6' END},
+        {'at': 2, 'step': 'evidence_collection', 'details': len(evidence) || ' lines', 'result': array_to_string(evidence, chr(10))},
+        {'at': 3, 'step': 'fix_suggestion', 'details': CASE WHEN issue_detected THEN description ELSE '-' END,
+         'result': 'fix=' || CASE WHEN issue_detected THEN fix_type ELSE '-' END}]) AS u FROM suggestions)""",
     "diagnose_json": f"""SELECT o_orderkey AS run_id, CASE WHEN ok THEN issue_type END AS issue_type, CASE WHEN ok THEN CASE WHEN blank THEN 0.1 ELSE 0.6 END::DOUBLE END AS confidence,
         CASE WHEN ok THEN array_to_string(list_filter(string_split(coalesce(stderr, ''), chr(10)),
           lambda x: regexp_matches(x, '{SIGNS}') OR regexp_matches(x, '{TERMS}', 'i')), chr(10)) END AS evidence, CASE WHEN NOT ok THEN error END AS error
@@ -528,6 +532,26 @@ STATEMENTS: dict[str, str] = {
         CASE WHEN NOT ok THEN 'logs are not a JSON object' END AS error
         FROM (SELECT run_id, ok, stderr, {issue('stderr')} AS found, {packages('stderr')} AS named
           FROM (SELECT o_orderkey AS run_id, o_orderpriority NOT LIKE '5%' AS ok, {stderr_of('o_orderkey')} AS stderr FROM orders))""",
+    "sql_actions": f"""WITH q AS (
+        SELECT run_id, ok, CASE WHEN stdout = '' AND coalesce(stderr, '') = '' THEN 'unknown' ELSE {issue('stderr')} END AS found, {packages('stderr')} AS named,
+          coalesce(contains(stderr, 'GC overhead limit exceeded'), false) AS gc
+        FROM (SELECT o_orderkey AS run_id, o_orderpriority NOT LIKE '5%' AS ok, {stdout_of('o_orderkey')} AS stdout, {stderr_of('o_orderkey')} AS stderr FROM orders)),
+      p AS (
+        SELECT q.*, CASE WHEN ok THEN found END AS issue_type, r.cluster_id, c.num_workers, CASE WHEN NOT ok THEN 'parameters are not a JSON object'
+          WHEN r.cluster_id IS NULL THEN 'Run names no cluster' WHEN found = 'dependency_error' AND len(named) = 0 THEN 'No packages to install' END AS problem
+        FROM q JOIN runs r USING (run_id) LEFT JOIN clusters c ON c.cluster_id = r.cluster_id)
+      SELECT p.run_id, p.issue_type, CASE WHEN ok THEN {by_issue("'increase_memory'", "'increase_disk_space'", "'install_dependencies'", "'restart_cluster'", 'found')} END AS fix_type,
+        CASE WHEN ok THEN {by_issue("CASE WHEN gc THEN 0.9 ELSE 0.8 END", '0.85', "CASE WHEN len(named) > 0 THEN 0.9 ELSE 0.6 END", '0.5', 'found')}::DOUBLE END AS fix_confidence,
+        CASE WHEN NOT ok THEN 'logs are not a JSON object' END AS diagnose_error, p.cluster_id,
+        CASE WHEN problem IS NULL AND found = 'memory_exceeded' THEN floor(coalesce(num_workers, 1) * CASE WHEN gc THEN 2.0 ELSE 1.5 END)::INT END AS target_workers,
+        CASE WHEN problem IS NULL AND found = 'dependency_error' THEN
+          '[' || array_to_string(list_transform(named, lambda x: '{{"pypi":{{"package":"' || x || '"}}}}'), ',') || ']' END AS payload, problem AS apply_error,
+        v.outcome, v.next_run_id, CASE WHEN v.run_id IS NULL THEN 'No fix to verify' END AS verify_error,
+        CASE WHEN p.run_id % 7 <> 0 THEN '# ' || CASE WHEN outcome = 'success' THEN {lit(reporting.HEADLINE_OK)} ELSE {lit(reporting.HEADLINE_FAILED)} END
+          || chr(10) || chr(10) || {guided(reporting.ROOT_CAUSE)} || chr(10) || chr(10) || '- verify: ' || coalesce(outcome, '-') || chr(10) || chr(10)
+          || CASE WHEN outcome = 'success' THEN {guided(reporting.OUTCOME)} ELSE {lit(reporting.NOT_RESOLVED)} END END AS report,
+        CASE WHEN p.run_id % 7 = 0 THEN 'reasoning steps are not a JSON array' END AS report_error
+      FROM p LEFT JOIN (SELECT s.run_id, verified.outcome, verified.next_run_id FROM verified JOIN suggestions s USING (fix_id)) v ON v.run_id = p.run_id""",
     "text_helpers": """SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS title,
         lower(p_name) AS words, trim(string_split(p_brand || '.' || p_type || '.' || p_name, '.')[-1]) AS last_part,
         CASE WHEN p_type = 'ECONOMY' THEN 'N/A' ELSE p_type END AS type_or_default, p_name AS stripped FROM part""",
