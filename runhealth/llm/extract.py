@@ -5,7 +5,8 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -39,6 +40,7 @@ ASIDE_WORDS = frozenset(
     "breadcrumbs header footer masthead sidebar aside widget related share social cookie cookies consent notice alert "
     "popup modal newsletter subscribe signup login search comment comments disqus respond reply replies pagination pager "
     "toolbar skip copyright complementary contentinfo form".split())
+MODIFIERS = frozenset("has with without no not hide show".split())
 MAIN_TAGS = frozenset(("article", "main"))
 MAIN_WORDS = frozenset("article main content post entry story articlebody".split())
 SUPPORT = 0.5
@@ -48,11 +50,16 @@ BROADCAST_HOSTS = 1 << 17
 
 
 def marks(attributes: str) -> list[str]:
-    """Lower-case words in class, id and role."""
+    """Lower-case words in class, id and role. What follows a modifier in a name, as in ``has-sidebar``, says what stands
+    beside or inside an element and not what it is."""
     if "=" not in attributes:
         return []
-    found = " ".join(a or b or c for a, b, c in NAMED.findall(attributes))
-    return re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", found).lower())
+    found: list[str] = []
+    for values in NAMED.findall(attributes):
+        for name in "".join(values).split():
+            parts = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower())
+            found += takewhile(lambda w: w not in MODIFIERS, parts)
+    return found
 
 
 class Page:
@@ -138,6 +145,16 @@ def set_aside(place: str, main: str = "") -> bool:
     return any(aside(name) for name in names(place[len(main):]))
 
 
+def by_tag(place: str, main: str = "") -> bool:
+    """Whether an element on the way down is set aside by its tag, whatever it is called."""
+    return any(name.split(".")[0] in ASIDE_TAGS for name in names(place[len(main):]))
+
+
+def tagged_main(place: str) -> bool:
+    """Whether an element is an article or main element that no tag above it sets aside."""
+    return names(place)[-1].split(".")[0] in MAIN_TAGS and not by_tag(place)
+
+
 def inside(place: str, region: str) -> bool:
     return place == region or place.startswith(region + "/")
 
@@ -153,8 +170,14 @@ def deduce(tokens: list[tuple[str, int, int, int]], n_pages: int) -> str | None:
     """
     classes: dict[int, list[str]] = {}
     own: dict[str, int] = {}
-    for place, vector, pages, chars in tokens:
-        if pages >= SUPPORT * n_pages and not set_aside(place):
+    frequent = [t for t in tokens if t[2] >= SUPPORT * n_pages]
+    hidden: Counter[str] = Counter()  # text below article and main elements that stand in an element named as no part of one
+    for place, _, _, chars in frequent:
+        parts = names(place)
+        for depth in range(1, len(parts) + 1):
+            hidden["".join("/" + p for p in parts[:depth])] += chars
+    for place, vector, pages, chars in frequent:
+        if not set_aside(place):
             classes.setdefault(vector, []).append(place)
             own[place] = chars
     below: Counter[str] = Counter()
@@ -170,6 +193,9 @@ def deduce(tokens: list[tuple[str, int, int, int]], n_pages: int) -> str | None:
     named = sorted((p for p in own if main_like(names(p)[-1]) and below[p] > 0), key=lambda p: (len(names(p)), -below[p], p))
     if named:
         return named[0]
+    if not sum(own.values()):  # a word in a name never sets aside what holds the article
+        wrapped = sorted((t[0] for t in frequent if tagged_main(t[0]) and hidden[t[0]] > 0), key=lambda p: (len(names(p)), -hidden[p], p))
+        return wrapped[0] if wrapped else None
     here = ""
     while True:
         inner = [p for p in children.get(here, ()) if not here or vector_of[p] == vector_of.get(here, vector_of[p])]
@@ -182,15 +208,24 @@ def deduce(tokens: list[tuple[str, int, int, int]], n_pages: int) -> str | None:
 def article(page: Page, main: str | None) -> str:
     """Text of the main slot in page order, one line per block; elements set aside inside it are left out.
 
-    A page without the slot falls back to its own article or main element, then to all that is not set aside.
+    A page without the slot falls back to its own article or main element, then to all that is not set aside. Where
+    that leaves no text, words in names set nothing aside any more: first in an article or main element, then anywhere.
     """
     if main is None or not any(inside(place, main) for place in page.opened):
         own = sorted((p for p in page.opened if main_like(names(p)[-1]) and not set_aside(p)), key=lambda p: len(names(p)))
         main = own[0] if own else ""
+    found = text_of(page, main, set_aside)
+    if not found:
+        wrapped = sorted((p for p in page.opened if tagged_main(p)), key=lambda p: len(names(p)))
+        found = next(filter(None, (text_of(page, p, rule) for p in [*wrapped, ""] for rule in (set_aside, by_tag))), "")
+    return found
+
+
+def text_of(page: Page, main: str, left_out: Callable[[str, str], bool]) -> str:
     blocks: list[list[str]] = []
     last = None
     for place, text, block in page.texts:
-        if inside(place, main) and not set_aside(place, main):
+        if inside(place, main) and not left_out(place, main):
             if block != last:
                 blocks.append([])
                 last = block

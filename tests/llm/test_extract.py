@@ -56,6 +56,26 @@ def test_test_pages(spark, small):
         assert got[page_id] == "\n".join(w for w in want if w)
 
 
+WRAPPERS = ["<div class='page has-sidebar'>%s</div>", "<div id='content-with-comments'>%s</div>", "<main class='layout no-sidebar'>%s</main>",
+            "<div class='sidebar-page'>%s</div>", "<div class='search'><div id=nav-wrap>%s</div></div>", "<section class='pageWithMenu'>%s</section>"]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_names_of_wrappers_drop_no_article(spark, wrapper):
+    """With a template of many pages, and on a page alone."""
+    page_of = lambda i: wrapper % (
+        f"<nav>menu {i}</nav><article><h1>Title {i}</h1><p>Body of {i}.</p><div class='comments'>said {i}</div></article><footer>foot {i}</footer>")
+    rows = [(i, f"http://many/{i}", page_of(i), "h", "m", "t", 1) for i in range(6)] + [(9, "http://one/9", page_of(9), "h", "m", "t", 1)]
+    got = {r["page_id"]: r["text"] for r in extract.extract_articles(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {i: f"Title {i}\nBody of {i}." for i in [*range(6), 9]}
+
+
+def test_a_page_of_asides_alone_keeps_its_text():
+    assert extract.article(extract.Page("<div class='sidebar'><p>all there is</p><nav>menu</nav></div>"), None) == "all there is"
+    assert extract.article(extract.Page("<nav>menu</nav>"), None) == ""
+    assert extract.marks("class='has-sidebar mainContent no-js' id=page-with-nav role=main") == ["main", "content", "page", "main"]
+
+
 def test_edges(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     rows = [(1, None, None, "h", "m", "t", 1), (2, "x", "", "h", "m", "t", 1), (3, "http://a/1", "plain text &amp; more", "h", "m", "t", 1),
