@@ -10,11 +10,11 @@ from pyspark.sql import Column, functions as F
 WHITESPACE = " \t\n\r\f\x0b"
 # The log text layout.
 LOG_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
-LOG_SEPARATOR = " | "
 
 
-def as_col(value: Column | str) -> Column:
-    return F.col(value) if isinstance(value, str) else value
+def succeeded(flag: Column, status: Column) -> Column:
+    """Whether something succeeded: by its flag or, where that is not set, by its status."""
+    return F.coalesce(F.nullif(flag, F.lit(False)), status == "success", F.lit(False))
 
 
 def contains_any(text: Column, terms: list[str]) -> Column:
@@ -100,10 +100,6 @@ def epoch_millis(ts: Column) -> Column:
     return F.timestamp_diff("MILLISECOND", F.lit(EPOCH).cast("timestamp_ntz"), ts)
 
 
-def from_epoch_millis(ms: Column) -> Column:
-    return F.timestamp_millis(ms)
-
-
 def duration_seconds(start: Column, end: Column) -> Column:
     """Whole elapsed seconds, computed from milliseconds."""
     return F.floor(F.timestamp_diff("MILLISECOND", start, end) / 1000).cast("bigint")

@@ -99,6 +99,14 @@ def read_activity(t: Tables) -> DataFrame:
     return read.select(F.date_format("ts", text.LOG_TIME_FORMAT).alias("ts"), "action_type", "user_name")
 
 
+@query
+def read_log_entries(t: Tables) -> DataFrame:
+    exported = t.logs.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), "log_type",
+                             F.col("cluster_id").cast("string"), "user", "message", "level", "source")
+    read = readers.read_log_entries(t.spark, _export(exported, "log-entries"))
+    return read.select(F.date_format("ts", text.LOG_TIME_FORMAT).alias("ts"), "log_type", "cluster_id", "user", "level", "source", "message")
+
+
 @query
 def read_cluster_events(t: Tables) -> DataFrame:
     exported = t.cluster_events.select(F.col("cluster_id").cast("string"),
@@ -800,8 +808,7 @@ def success_flag(t: Tables) -> DataFrame:
     """Success from a flag or from a status, whichever is there."""
     flag = F.when(F.col("event_type") == "click", F.lit(True)).when(F.col("event_type") == "view", F.lit(False))
     status = F.when(F.col("value") > 10, F.lit("success"))
-    return t.table("events").select("event_id", F.coalesce(
-        F.nullif(flag, F.lit(False)), status == "success", F.lit(False)).alias("successful"))
+    return t.table("events").select("event_id", text.succeeded(flag, status).alias("successful"))
 
 
 # -- SQL functions and JSON actions -----------------------------------------------------------------

@@ -8,7 +8,6 @@ from runhealth.functions.diagnosis import diagnose_run, reasoning_steps, with_fi
 from runhealth.functions.remedy import with_suggestion
 from runhealth.functions.reporting import render_report
 from runhealth.operators.lookups import latest_run, plan_columns, resolve_request, with_cluster
-from runhealth.operators.verify import attempt_number, verify_next_run
 
 RUN_COLUMNS = ["job_id", "run_id", "cluster_id", "status", "start_ts"]
 
@@ -29,13 +28,6 @@ def runs_with_issues(runs: DataFrame, diagnosed: DataFrame) -> DataFrame:
     return runs.join(diagnosed.select("run_id", "issue_type"), "run_id", "left")
 
 
-def verified_fixes(runs: DataFrame, logs: DataFrame, timeout_seconds: int) -> DataFrame:
-    """All fixes with attempt number and outcome."""
-    diagnosed = failed_diagnoses(runs, logs)
-    numbered = attempt_number(fixes_of(diagnosed))
-    return verify_next_run(numbered, runs_with_issues(runs, diagnosed), timeout_seconds)
-
-
 def incident_response(runs: DataFrame, logs: DataFrame, clusters: DataFrame,
                       requests: DataFrame | None = None) -> DataFrame:
     """One row per job (or request, found or not): its run, the diagnosis, a sized remedy and a report.

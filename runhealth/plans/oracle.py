@@ -313,6 +313,7 @@ STATEMENTS: dict[str, str] = {
     "read_clusters": """SELECT cluster_id::VARCHAR AS cluster_id, name, state, creator, node_type, runtime, num_workers,
         'spark.a=1,spark.node=' || node_type AS spark_conf FROM clusters""",
     "read_activity": "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, action_type, user_name FROM activity",
+    "read_log_entries": """SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, log_type, cluster_id::VARCHAR AS cluster_id, "user", level, source, message FROM logs""",
     "read_cluster_events": "SELECT user_id::VARCHAR AS cluster_id, epoch_us(ts) // 1000 AS ts_millis, upper(event_type) AS type, props AS details FROM events",
     "read_api_calls": """SELECT operation, success, concat_ws(',', 'Token=kept', CASE WHEN result_size IS NULL THEN 'k' ELSE 'k=' || result_size END,
         'password=p-1', 'token=t-1') AS parameters, result_size, duration_seconds, error_type FROM api_calls""",

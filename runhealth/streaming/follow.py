@@ -12,19 +12,6 @@ from runhealth.sources.logtext import STATE_LOGGER, state_lines
 from runhealth.sources.readers import flatten_runs
 
 
-def read_log_stream(spark: SparkSession, directory: str, name: str = "agent.log",
-                    files_per_trigger: int = 1000) -> DataFrame:
-    """Lines of log files as they appear in ``directory``.
-
-    Each file is read once, when it is first seen: land files after they are
-    rotated, not while they grow.
-    """
-    return (
-        spark.readStream.option("pathGlobFilter", f"{name}*").option("maxFilesPerTrigger", files_per_trigger)
-        .text(directory).select(F.col("_metadata.file_name").alias("file"), "value")
-    )
-
-
 def follow_states(lines: DataFrame, logger: str = STATE_LOGGER) -> DataFrame:
     """The agent states in a stream (or table) of log lines; stateless."""
     return state_lines(lines, logger).withColumn("kind", state_kind(F.col("state")))

@@ -10,7 +10,8 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from runhealth.operators.verify import verify_next_run
-from runhealth.streaming import approvals, ledger, verify
+from runhealth.sources import readers
+from runhealth.streaming import approvals, follow, ledger, verify
 from runhealth.streaming.scratch import finished, landed, one_a_trigger, run_available
 
 HOUR = 3600
@@ -119,6 +120,18 @@ def test_fixes_and_runs_in_scrambled_order_equal_the_batch(spark, bucket_hours):
     assert {f: got[f] for f in got if got[f] != want[f]} == {}
 
 
+def test_run_exports_are_read_alike_by_batch_and_stream(spark, tmp_path):
+    exports = ['{"job_id": "j1", "run_id": "r1", "status": "FAILED", "start_time": 1000, "end_time": 5500, "logs": {"stderr": "Java heap space"}}',
+               '{"job_id": "j1", "run_id": "r2", "status": "odd", "duration_seconds": 7}', "{broken"]
+    for i, text in enumerate(exports):
+        (tmp_path / f"{i}.json").write_text(text)
+    live = follow.read_run_stream(spark, str(tmp_path), 1)
+    got = run_available(live, spark, "test-exports")
+    want = readers.read_runs(spark, str(tmp_path))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert {(r["run_id"], r["status"], r["duration_seconds"]) for r in got.collect()} == {("r1", "FAILED", 4), ("r2", "UNKNOWN", 7), (None, "UNKNOWN", None)}
+
+
 def test_a_replayed_batch_leaves_no_repeat(spark, tmp_path, monkeypatch):
     frame = spark.range(30).withColumn("place", (F.col("id") % 3).cast("int"))
     path = landed(frame, F.col("place"), 3, "test-ledger")
