@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from runhealth.llm.common import WORD, kept, map_rows, row_keys, words
+from runhealth.llm.blocks import ragged
+from runhealth.llm.common import SPACES, encoded, kept, map_rows, row_keys
 
 # A passage counts from this many words on. Windows of that size are found at the least of their
 # shingles of SHINGLE words.
 MIN_WORDS = 40
 SHINGLE = 20
+# Bytes of text that are hashed at a time; a longer word is hashed on its own.
+PIECE = 1 << 20
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    found = words(text)
-    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+# Odd bases of the polynomials over bytes and words, modulo 2^64.
+_BYTE_BASE, _WORD_BASE, _CHECK_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
+_IS_WORD = np.ones(256, bool)
+_IS_WORD[list(SPACES.encode())] = False
+_BYTES = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], np.uint64)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -28,38 +35,88 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+@cache
+def _held_powers(base: int) -> np.ndarray:
+    return _new_powers(base, PIECE + 1)
+
+
+def _new_powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)])) if n else np.zeros(0, np.uint64)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    return _held_powers(base)[:n] if n <= PIECE + 1 else _new_powers(base, n)
+
+
+class Stretches:
+    """Hashes of any stretches of a sequence, from sums over its beginnings."""
+
+    def __init__(self, values: np.ndarray, base: int):
+        self.inverse = powers(pow(base, -1, 1 << 64), len(values) + 1)
+        self.total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * powers(base, len(values)), out=self.total[1:])
+
+    def hashes(self, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return _mixed((self.total[ends] - self.total[begins]) * self.inverse[begins] + (ends - begins).astype(np.uint64))
+
+    def windows(self, size: int) -> np.ndarray:
+        """The hash of each stretch of ``size``."""
+        n = max(len(self.total) - size, 0)
+        return _mixed((self.total[size:] - self.total[:n]) * self.inverse[:n] + np.uint64(size))
+
+
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word, and the byte after it."""
+    inside = _IS_WORD[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    return edges[::2], edges[1::2]
+
+
+def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    raw, out, i = np.frombuffer(data, np.uint8), np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        begin = int(starts[i])
+        j = int(np.searchsorted(ends, begin + PIECE, "right"))
+        if j <= i:
+            out[i] = xxhash.xxh64_intdigest(data[begin:int(ends[i])])
+            i += 1
+            continue
+        sums = Stretches(_BYTES[raw[begin:int(ends[j - 1])]], _BYTE_BASE)
+        out[i:j] = sums.hashes(starts[i:j] - begin, ends[i:j] - begin)
+        i = j
+    return out
+
+
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each stretch of ``size`` words, from those of halves."""
-    if len(hashes) < size:
-        return hashes[:0]
-    if size == 1:
-        return hashes
-    left = window_hashes(hashes, size // 2)
-    right = left if size % 2 == 0 else window_hashes(hashes, size - size // 2)
-    n = len(hashes) - size + 1
-    return _mixed(left[:n] * _FACTOR + _mixed(right[size // 2:size // 2 + n]))
+    """A hash of each stretch of ``size`` words."""
+    return Stretches(hashes, _WORD_BASE).windows(size)
 
 
-def selected(hashes: np.ndarray, min_words: int, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mark, first window, last window) of each run of windows of ``min_words`` words that select the same shingle.
+def least(grams: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least of each ``width`` grams by the upper half of their bits, the last of equal ones."""
+    low = np.uint64(0xFFFFFFFF)
+    held, reach, n = (grams & ~low) | (low - np.arange(len(grams), dtype=np.uint64)), 1, len(grams) - width + 1
+    while 2 * reach <= width:
+        held, reach = np.minimum(held[:-reach], held[reach:]), 2 * reach
+    return (low - (np.minimum(held[:n], held[width - reach:width - reach + n]) & low)).astype(np.int64)
 
-    A window selects its least shingle, the last of equal ones, so it depends on the window's words alone.
-    """
-    grams = window_hashes(hashes, shingle)
-    width = min_words - shingle + 1
-    n = len(grams) - width + 1
-    if n <= 0:
-        none = np.zeros(0, np.int64)
-        return grams[:0], none, none
-    views = np.lib.stride_tricks.sliding_window_view(grams, width)
-    chosen = np.arange(n) + width - 1 - views[:, ::-1].argmin(axis=1)
-    begins = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
-    ends = np.append(begins[1:], n) - 1
-    return grams[chosen[begins]], begins, ends
 
+def selected(hashes: np.ndarray, bounds: np.ndarray, min_words: int, shingle: int) -> tuple[np.ndarray, ...]:
+    """(mark, cover, first word, word after the last) of each run of windows of ``min_words`` words that select the same shingle.
 
-def signed(h: np.ndarray) -> list[int]:
-    return np.ascontiguousarray(h).view(np.int64).tolist()
+    ``bounds`` cut the words into documents; no window crosses them. A window selects its least shingle, so it depends on the
+    window's words alone. ``cover`` is a hash of all words of the run's windows.
+    """
+    sums = Stretches(hashes, _WORD_BASE)
+    grams, sizes = sums.windows(shingle), np.maximum(np.diff(bounds) - min_words + 1, 0)
+    if not sizes.sum():
+        none = np.zeros(0, np.int64)
+        return grams[:0], grams[:0], none, none
+    at = ragged(bounds[:-1], sizes).astype(np.int64)
+    chosen = least(grams, min_words - shingle + 1)[at]
+    first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
+    begins, ends = at[first], at[np.append(first[1:], len(at)) - 1] + min_words
+    return grams[chosen[first]], Stretches(hashes, _CHECK_BASE).hashes(begins, ends), begins, ends
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
@@ -68,26 +125,31 @@ def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
     Such lines go with their line end. In a line that keeps words, the space after a deleted word goes, or
     before it at the end of the line.
     """
-    lines, out, at, removed = text.split("\n"), [], 0, 0
-    gone = np.zeros(max(end for _, end in spans) + 1, bool)
+    data = encoded(text)
+    starts, ends = word_places(data)
+    gone = np.zeros(len(starts), bool)
     for begin, end in spans:
         gone[begin:end] = True
-    for line in lines:
-        found = [m.span() for m in re.finditer(WORD, line)]
-        lost = gone[at:at + len(found)]
-        at += len(found)
-        if not lost.any():
-            out.append(line)
-        elif len(lost) == len(found) and lost.all():
+    breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    line_begins, line_ends = np.append(0, breaks + 1).tolist(), np.append(breaks, len(data)).tolist()
+    first = np.append(np.searchsorted(starts, line_begins), len(starts))
+    lost = np.diff(np.append(0, np.cumsum(gone))[first])
+    out, removed, at = [], 0, 0
+    for k in np.flatnonzero(lost).tolist():
+        if at < k:
+            out.append(data[line_begins[at]:line_ends[k - 1]])
+        a, b, at = int(first[k]), int(first[k + 1]), k + 1
+        if lost[k] == b - a:
             removed += 1
-        else:
-            stays = [i for i in range(len(found)) if i >= len(lost) or not lost[i]]
-            parts = [line[:found[0][0]]]
-            for i in stays:
-                following = found[i + 1][0] if i + 1 < len(found) else len(line)
-                parts.append(line[found[i][0]:found[i][1] if i == stays[-1] and i + 1 < len(found) else following])
-            out.append("".join(parts))
-    return "\n".join(out), removed
+            continue
+        edges = np.flatnonzero(np.diff(~gone[a:b], prepend=False, append=False)) + a
+        out.append(data[line_begins[k]:starts[a]])
+        for i, j in edges.reshape(-1, 2).tolist():
+            end = line_ends[k] if j == b else int(ends[j - 1] if j == edges[-1] else starts[j])
+            out[-1] += data[int(starts[i]):end]
+    if at < len(line_begins):
+        out.append(data[line_begins[at]:])
+    return b"\n".join(out).decode("utf-8", "surrogatepass"), removed
 
 
 def released(df: DataFrame, purpose: str) -> DataFrame:
@@ -102,6 +164,44 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return (a["key"] == b["key"]) & a["doc_id"].eqNullSafe(b["doc_id"])
 
 
+MARKED = "key long, doc_id long, mark array<long>, cover array<long>, at array<int>, reach array<int>"
+
+
+def _marked(min_words: int, shingle: int):
+    """Arrow map from (doc_id, text, key) to MARKED, a group of documents of about PIECE bytes at a time."""
+    arrow = to_arrow_schema(StructType.fromDDL(MARKED))
+
+    def group(part: pa.RecordBatch) -> pa.RecordBatch | None:
+        texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
+        data = b"\n".join(texts)
+        starts, ends = word_places(data)
+        offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        bounds = np.searchsorted(starts, offsets)
+        marks, covers, begins, after = selected(word_hashes(data, starts, ends), bounds, min_words, shingle)
+        of = np.searchsorted(bounds, begins, "right") - 1
+        has, counts = np.unique(of, return_counts=True)
+        if not len(has):
+            return None
+        cuts = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+        lists = [marks.view(np.int64), covers.view(np.int64), (begins - bounds[of]).astype(np.int32), (after - begins).astype(np.int32)]
+        whole = [part.column(name).take(pa.array(has)) for name in ("key", "doc_id")]
+        return pa.RecordBatch.from_arrays(whole + [
+            pa.ListArray.from_arrays(cuts, pa.array(x), type=field.type) for x, field in zip(lists, list(arrow)[2:])], schema=arrow)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                done = int(sizes[at - 1]) if at else 0
+                end = max(at + 1, int(np.searchsorted(sizes, done + PIECE, "right")))
+                if out := group(batch.slice(at, end - at)):
+                    yield out
+                at = end
+
+    return mapped
+
+
 def repeated_words(docs: DataFrame, min_words: int, shingle: int) -> DataFrame:
     """(key, doc_id, spans): stretches [begin, end) of words that each document loses."""
     frame = docs.select(F.col("doc_id").cast("long"), "text", row_keys("doc_id", "text")[0])
@@ -109,18 +209,7 @@ def repeated_words(docs: DataFrame, min_words: int, shingle: int) -> DataFrame:
 
     # What all windows of a mark cover, as a whole: where it is repeated, each window is. Where a mark stands in
     # different covers, the first holder of each gives its windows one by one.
-    def marked(stream: Iterator[dict]) -> Iterator[tuple]:
-        for row in stream:
-            hashes = word_hashes(row["text"])
-            marks, begins, ends = selected(hashes, min_words, shingle)
-            if len(marks):
-                data, ends = hashes.tobytes(), ends + min_words
-                covers = [digest(data[8 * b:8 * e]) - (1 << 63) for b, e in zip(begins.tolist(), ends.tolist())]
-                yield row["key"], row["doc_id"], signed(marks), covers, begins.tolist(), (ends - begins).tolist()
-
-    digest = xxhash.xxh64_intdigest
-    held = released(map_rows(frame, "key long, doc_id long, mark array<long>, cover array<long>, at array<int>, "
-                             "reach array<int>", marked, flush=256), "passage-marks")
+    held = released(frame.mapInArrow(_marked(min_words, shingle), MARKED), "passage-marks")
     often = held.select(F.explode("mark").alias("mark")).groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     marks = held.select("key", "doc_id", F.inline(F.arrays_zip("mark", "cover", "at", "reach")))
     covered = released(marks.join(often, "mark"), "passage-covers")
@@ -134,21 +223,22 @@ def repeated_words(docs: DataFrame, min_words: int, shingle: int) -> DataFrame:
 
     def windows(stream: Iterator[dict]) -> Iterator[tuple]:
         for row in stream:
-            every = window_hashes(word_hashes(row["text"]), min_words)
-            spans = [(a["at"], a["at"] + a["reach"] - min_words + 1) for a in row["spans"]]
-            at = np.concatenate([np.arange(b, e) for b, e in spans])
-            yield row["key"], row["doc_id"], signed(every[at]), at.tolist()
+            data = encoded(row["text"])
+            hashes = word_hashes(data, *word_places(data))
+            spans = np.array([(a["at"], a["reach"] - min_words + 1) for a in row["spans"]], np.int64)
+            at = np.unique(ragged(spans[:, 0], spans[:, 1]))
+            found = [Stretches(hashes, base).hashes(at, at + min_words).view(np.int64) for base in (_WORD_BASE, _CHECK_BASE)]
+            yield row["key"], row["doc_id"], *found, at.astype(np.int32)
 
     asked = parted.groupBy("key", "doc_id").agg(F.collect_set(F.struct("at", "reach")).alias("spans"))
     texts = asked.join(frame, _same(asked, frame)).select(asked["key"], asked["doc_id"], "spans", "text")
-    single = released(map_rows(texts, "key long, doc_id long, mark array<long>, at array<int>", windows, flush=256),
+    single = released(map_rows(texts, "key long, doc_id long, mark array<long>, check array<long>, at array<int>", windows, flush=256),
                       "passage-windows")
-    twice = single.select(F.explode("mark").alias("mark")).groupBy("mark").agg(F.count("*").alias("n")) \
-        .where("n > 1").drop("n")
-    repeated = released(single.select("key", "doc_id", F.inline(F.arrays_zip("mark", "at"))).join(twice, "mark"),
-                        "passage-repeated")
-    firsts = repeated.groupBy("mark").agg(F.min(place).alias("first"))
-    later = repeated.join(firsts, "mark").where(place != F.col("first")) \
+    each = single.select("key", "doc_id", F.inline(F.arrays_zip("mark", "check", "at")))
+    twice = each.groupBy("mark", "check").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = released(each.join(twice, ["mark", "check"]), "passage-repeated")
+    firsts = repeated.groupBy("mark", "check").agg(F.min(place).alias("first"))
+    later = repeated.join(firsts, ["mark", "check"]).where(place != F.col("first")) \
         .select("key", "doc_id", "at", F.lit(min_words).alias("reach"))
 
     span = F.struct(F.col("at").alias("begin"), (F.col("at") + F.col("reach")).alias("end"))
@@ -164,22 +254,32 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, shingle: int = S
     then the place in the text, so the first copy stays, also inside one document. Lines that lose all
     their words go and count in n_removed; of others the rest stays. A document may be left with empty text; null
     text stays null. Repeated rows count as one document and lose the same words. Rows without doc_id come first
-    in order. n_chars follows the text. Words and stretches are compared by 64-bit hashes.
+    in order. n_chars follows the text. Words are compared by 64-bit hashes, stretches
+    by two of them.
     """
     gone = repeated_words(docs, min_words, shingle)
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
     keyed = plain.withColumn("key", row_keys("doc_id", "text")[0])
 
-    def rows(stream: Iterator[dict]) -> Iterator[tuple]:
-        for row in stream:
-            text, n_chars, removed = row["text"], row["n_chars"], 0
-            lines = text.count("\n") + 1 if text else 0
-            if row["spans"]:
-                text, removed = without(text, [(s["begin"], s["end"]) for s in row["spans"]])
-                n_chars = len(text)
-            yield row["doc_id"], text, row["lang"], row["source"], n_chars, lines, removed
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, spans = batch.column("text"), batch.column("spans")
+            lines = pc.if_else(pc.greater(pc.fill_null(pc.binary_length(text), 0), 0), pc.add(pc.count_substring(text, "\n"), 1), 0)
+            removed = np.zeros(batch.num_rows, np.int64)
+            n_chars, hit = batch.column("n_chars"), pc.is_valid(spans)
+            at = np.flatnonzero(hit.to_numpy(zero_copy_only=False))
+            if len(at):
+                left = [without(t, [(s["begin"], s["end"]) for s in found])
+                        for t, found in zip(text.filter(hit).to_pylist(), spans.filter(hit).to_pylist())]
+                removed[at] = [n for _, n in left]
+                text = pc.replace_with_mask(text, hit, pa.array([t for t, _ in left], text.type))
+                n_chars = pc.replace_with_mask(n_chars, hit, pa.array([len(t) for t, _ in left], n_chars.type))
+            held = {"text": text, "n_chars": n_chars, "n_lines": lines, "n_removed": pa.array(removed)}
+            yield pa.RecordBatch.from_arrays([
+                (held[f.name] if f.name in held else batch.column(f.name)).cast(f.type) for f in arrow], schema=arrow)
 
     columns = [keyed[c] for c in plain.columns]
     both = keyed.join(gone, _same(keyed, gone), "left").select(*columns, "spans")
     schema = plain.schema.add("n_lines", "long").add("n_removed", "long")
-    return map_rows(both, schema, rows)
+    arrow = to_arrow_schema(schema)
+    return both.mapInArrow(cut, schema)
