@@ -119,17 +119,15 @@ def selected(hashes: np.ndarray, bounds: np.ndarray, min_words: int, shingle: in
     return grams[chosen[first]], Stretches(hashes, _CHECK_BASE).hashes(begins, ends), begins, ends
 
 
-def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
-    """The text without the words of ``spans`` [begin, end), and how many lines lost all their words.
+def without(data: bytes, begins: np.ndarray, span_ends: np.ndarray) -> tuple[bytes, int]:
+    """The text without the words [begin, end) of each span, and how many lines lost all their words.
 
     Such lines go with their line end. In a line that keeps words, the space after a deleted word goes, or
     before it at the end of the line.
     """
-    data = encoded(text)
     starts, ends = word_places(data)
-    gone = np.zeros(len(starts), bool)
-    for begin, end in spans:
-        gone[begin:end] = True
+    n = len(starts)
+    gone = np.cumsum(np.bincount(begins, minlength=n + 1) - np.bincount(span_ends, minlength=n + 1))[:n] > 0
     breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
     line_begins, line_ends = np.append(0, breaks + 1).tolist(), np.append(breaks, len(data)).tolist()
     first = np.append(np.searchsorted(starts, line_begins), len(starts))
@@ -143,13 +141,14 @@ def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
             removed += 1
             continue
         edges = np.flatnonzero(np.diff(~gone[a:b], prepend=False, append=False)) + a
-        out.append(data[line_begins[k]:starts[a]])
+        parts = [data[line_begins[k]:starts[a]]]
         for i, j in edges.reshape(-1, 2).tolist():
             end = line_ends[k] if j == b else int(ends[j - 1] if j == edges[-1] else starts[j])
-            out[-1] += data[int(starts[i]):end]
+            parts.append(data[int(starts[i]):end])
+        out.append(b"".join(parts))
     if at < len(line_begins):
         out.append(data[line_begins[at]:])
-    return b"\n".join(out).decode("utf-8", "surrogatepass"), removed
+    return b"\n".join(out), removed
 
 
 def released(df: DataFrame, purpose: str) -> DataFrame:
@@ -227,12 +226,12 @@ def repeated_words(docs: DataFrame, min_words: int, shingle: int) -> DataFrame:
             hashes = word_hashes(data, *word_places(data))
             spans = np.array([(a["at"], a["reach"] - min_words + 1) for a in row["spans"]], np.int64)
             at = np.unique(ragged(spans[:, 0], spans[:, 1]))
-            found = [Stretches(hashes, base).hashes(at, at + min_words).view(np.int64) for base in (_WORD_BASE, _CHECK_BASE)]
-            yield row["key"], row["doc_id"], *found, at.astype(np.int32)
+            mark, check = (Stretches(hashes, base).hashes(at, at + min_words) for base in (_WORD_BASE, _CHECK_BASE))
+            yield row["key"], row["doc_id"], mark.view(np.int64), (check >> np.uint64(32)).astype(np.uint32).view(np.int32), at.astype(np.int32)
 
     asked = parted.groupBy("key", "doc_id").agg(F.collect_set(F.struct("at", "reach")).alias("spans"))
     texts = asked.join(frame, _same(asked, frame)).select(asked["key"], asked["doc_id"], "spans", "text")
-    single = released(map_rows(texts, "key long, doc_id long, mark array<long>, check array<long>, at array<int>", windows, flush=256),
+    single = released(map_rows(texts, "key long, doc_id long, mark array<long>, check array<int>, at array<int>", windows, flush=256),
                       "passage-windows")
     each = single.select("key", "doc_id", F.inline(F.arrays_zip("mark", "check", "at")))
     twice = each.groupBy("mark", "check").agg(F.count("*").alias("n")).where("n > 1").drop("n")
@@ -254,8 +253,8 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, shingle: int = S
     then the place in the text, so the first copy stays, also inside one document. Lines that lose all
     their words go and count in n_removed; of others the rest stays. A document may be left with empty text; null
     text stays null. Repeated rows count as one document and lose the same words. Rows without doc_id come first
-    in order. n_chars follows the text. Words are compared by 64-bit hashes, stretches
-    by two of them.
+    in order. n_chars follows the text. Words and covers are compared by 64-bit hashes,
+    single stretches by 96 bits.
     """
     gone = repeated_words(docs, min_words, shingle)
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
@@ -269,11 +268,15 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, shingle: int = S
             n_chars, hit = batch.column("n_chars"), pc.is_valid(spans)
             at = np.flatnonzero(hit.to_numpy(zero_copy_only=False))
             if len(at):
-                left = [without(t, [(s["begin"], s["end"]) for s in found])
-                        for t, found in zip(text.filter(hit).to_pylist(), spans.filter(hit).to_pylist())]
+                places = spans.filter(hit)
+                begins, ends = (places.flatten().field(i).to_numpy() for i in range(2))
+                cuts = np.append(0, np.cumsum(pc.list_value_length(places).to_numpy())).tolist()
+                left = [without(data, begins[a:b], ends[a:b])
+                        for data, a, b in zip(text.filter(hit).cast(pa.binary()).to_pylist(), cuts, cuts[1:])]
                 removed[at] = [n for _, n in left]
-                text = pc.replace_with_mask(text, hit, pa.array([t for t, _ in left], text.type))
-                n_chars = pc.replace_with_mask(n_chars, hit, pa.array([len(t) for t, _ in left], n_chars.type))
+                rest = pa.array([data for data, _ in left], pa.binary()).cast(pa.string())
+                text = pc.replace_with_mask(text, hit, rest.cast(text.type))
+                n_chars = pc.replace_with_mask(n_chars, hit, pc.utf8_length(rest).cast(n_chars.type))
             held = {"text": text, "n_chars": n_chars, "n_lines": lines, "n_removed": pa.array(removed)}
             yield pa.RecordBatch.from_arrays([
                 (held[f.name] if f.name in held else batch.column(f.name)).cast(f.type) for f in arrow], schema=arrow)

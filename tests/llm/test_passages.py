@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_line_dedup import brute as brute_lines, frame, line, planted
 
 from runhealth.llm import passages
+from runhealth.llm.common import WORD
 
 
 def brute(texts, min_words):
@@ -72,12 +75,18 @@ def test_edges(spark, edge_docs, edge_rows, no_docs):
     assert passages.dedup_passages(no_docs).count() == 0
 
 
+def without(text, spans):
+    begins, ends = np.array(spans, int).reshape(-1, 2).T
+    left, removed = passages.without(text.encode(), begins, ends)
+    return left.decode(), removed
+
+
 def test_space_around_deleted_words():
     text = "  a b  c d\n\ne f \n g h"
-    assert passages.without(text, [(1, 3)]) == ("  a d\n\ne f \n g h", 0)
-    assert passages.without(text, [(3, 5)]) == ("  a b  c\n\nf \n g h", 0)
-    assert passages.without(text, [(4, 6)]) == ("  a b  c d\n\n g h", 1)
-    assert passages.without(text, [(0, 1), (5, 7)]) == ("  b  c d\n\ne\n h", 0)
+    assert without(text, [(1, 3)]) == ("  a d\n\ne f \n g h", 0)
+    assert without(text, [(3, 5)]) == ("  a b  c\n\nf \n g h", 0)
+    assert without(text, [(4, 6)]) == ("  a b  c d\n\n g h", 1)
+    assert without(text, [(0, 1), (5, 7)]) == ("  b  c d\n\ne\n h", 0)
 
 
 @pytest.mark.parametrize("size", [1, 5, 20, 40])
@@ -87,3 +96,77 @@ def test_window_hashes_follow_content(size):
     a = passages.window_hashes(np.concatenate([rng.integers(0, 9, 7).astype(np.uint64), run]), size)
     b = passages.window_hashes(run, size)
     assert a[7:].tolist() == b.tolist() and len(set(b.tolist())) == len(b) == 61 - size
+
+
+def hashes(text):
+    data = text.encode()
+    return passages.word_hashes(data, *passages.word_places(data)).tolist()
+
+
+def test_word_hashes_do_not_depend_on_where_a_text_is_cut(monkeypatch):
+    rng = random.Random(3)
+    text = "".join(line(rng, rng.randint(1, 9)) + rng.choice(["\n", " \t", "\x0b", "\u00a0"]) for _ in range(60)) + " é \U0001f600"
+    whole = hashes(text)
+    assert whole == [hashes(w)[0] for w in re.findall(WORD, text)]
+    assert len(set(whole)) == len(set(re.findall(WORD, text)))
+    for piece in (30, 64, 1000):
+        monkeypatch.setattr(passages, "PIECE", piece)
+        assert hashes(text) == whole
+    giant = "x" * 2000
+    assert hashes("a " + giant + " b")[1:2] == hashes(giant) and hashes(giant) != hashes(giant + "x")
+
+
+@pytest.mark.parametrize("width", [1, 2, 5, 21])
+def test_least_is_the_last_of_the_smallest(width):
+    grams = np.random.default_rng(width).integers(0, 6, 200).astype(np.uint64) << np.uint64(40)
+    want = [max(range(i, i + width), key=lambda j: (-int(grams[j]), j)) for i in range(201 - width)]
+    assert passages.least(grams, width).tolist() == want
+
+
+@pytest.mark.parametrize("piece", [1, 500, 1 << 20])
+def test_marks_do_not_depend_on_groups_of_documents(spark, monkeypatch, piece):
+    texts = [*across_lines().values(), None, "", "one", " ".join(["same"] * 90)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string()),
+                                        pa.array(range(len(texts)), pa.int64())], names=["doc_id", "text", "key"])
+    want = {}
+    for i, text in enumerate(texts):
+        data = (text or "").encode()
+        found = passages.word_hashes(data, *passages.word_places(data))
+        grams = passages.window_hashes(found, 20)
+        picked = [max(range(k, k + 21), key=lambda j: (-(int(grams[j]) >> 32), j)) for k in range(len(found) - 39)]
+        runs = [k for k in range(len(picked)) if not k or picked[k] != picked[k - 1]]
+        if runs:
+            ends = [*runs[1:], len(picked)]
+            want[i] = [(int(grams[picked[b]].view(np.int64)), b, e + 39 - b) for b, e in zip(runs, ends)]
+    monkeypatch.setattr(passages, "PIECE", piece) if piece > 100 else None
+    size = batch.num_rows if piece > 1 else 1
+    parts = [batch.slice(at, size) for at in range(0, batch.num_rows, size)]
+    got = {r["doc_id"]: list(zip(r["mark"], r["at"], r["reach"]))
+           for out in passages._marked(40, 20)(iter(parts)) for r in out.to_pylist()}
+    assert got == want
+
+
+def test_deleted_words_against_line_by_line():
+    def plain(text, gone):
+        kept, at, removed = [], 0, 0
+        for row in text.split("\n"):
+            places = [m.span() for m in re.finditer(WORD, row)]
+            lost = [at + i in gone for i in range(len(places))]
+            at += len(places)
+            if any(lost) and all(lost):
+                removed += 1
+                continue
+            last = max((i for i, x in enumerate(lost) if not x), default=-1)
+            for i in reversed(range(len(places))):
+                if lost[i]:
+                    row = row[:places[last][1]] if i > last else row[:places[i][0]] + row[places[i + 1][0]:]
+            kept.append(row)
+        return "\n".join(kept), removed
+
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "bé", "\U0001f600"]) * rng.randint(0, 3) + rng.choice([" ", "  ", "\n", "\t", "\n\n"])
+                       for _ in range(rng.randint(1, 30)))
+        n = len(re.findall(WORD, text))
+        spans = [(b, min(n, b + rng.randint(1, 6))) for b in rng.sample(range(n), min(n, rng.randint(1, 4)))]
+        assert without(text, spans) == plain(text, {i for b, e in spans for i in range(b, e)})
