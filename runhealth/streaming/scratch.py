@@ -66,7 +66,7 @@ def landed(df: DataFrame, place: Column, n: int, purpose: str) -> str:
     """Write the rows with ``place`` 0, 1, ... n - 1 as files one after the other, for a stream that takes one a trigger."""
     path = shared_folder(df.sparkSession, purpose)
     for i in range(n):
-        df.where(place == i).coalesce(1).write.mode("append").parquet(path)
+        df.where(place == i).repartition(1).write.mode("append").parquet(path)
     return path
 
 

@@ -161,3 +161,16 @@ def test_a_replayed_batch_leaves_no_repeat(spark, tmp_path, monkeypatch):
     trigger()
     assert calls == [0, 1, 1, 2, 2]
     assert sorted(r["id"] for r in ledger.read_batches(spark, out, live.schema).collect()) == list(range(30))
+
+
+def test_landing_keeps_the_upstream_parallel(spark):
+    """Each landing is one file, but the rows before it are made in all their partitions, not folded into one task."""
+    from pyspark import TaskContext
+
+    task = F.udf(lambda _: TaskContext.get().partitionId(), "int")
+    frame = spark.range(0, 4000, numPartitions=8).withColumn("made_in", task("id"))
+    path = landed(frame, F.pmod(F.col("id"), F.lit(3)), 3, "test-parallel")
+    back = spark.read.parquet(path)
+    assert back.count() == 4000
+    assert back.select("made_in").distinct().count() == 8
+    assert len(back.inputFiles()) == 3
