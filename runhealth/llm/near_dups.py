@@ -1,4 +1,5 @@
-"""Near duplicates by similarity of shingle sets: min-hash bands of the shingle hashes propose, exact sets decide.
+"""Near duplicates by similarity of shingle sets: SimHash fingerprints and min-hash bands of the shingle hashes propose,
+exact sets decide.
 
 The Hamming radius that reaches a similarity of 0.8 is about 16 of 64 bits. Distances between
 unrelated fingerprints lie at 32 +- 4, so no vantage point can prune at that radius; hence the
@@ -16,13 +17,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from runhealth.llm.common import kept, map_rows, row_keys, words
 from runhealth.llm.components import components
-from runhealth.llm.simhash import shingle_hashes
+from runhealth.llm.simhash import fingerprint_links, shingle_hashes
 
 SIZE = 5
 SIMILARITY = 0.8
 VALUES, BANDS, ROWS = 256, 25, 5
-# An estimate from VALUES values is off by 0.025 at 0.8. From SURE on a link needs no exact check;
-# below UNLIKELY there is none.
+# Fingerprints within REACH bits propose a pair.
+REACH = 3
+# An estimate from VALUES values is off by 0.025 at 0.8. From SURE on a pair is compared first; below UNLIKELY
+# there is none. Every link is decided on the exact sets.
 SURE, UNLIKELY = 0.92, 0.68
 # Buckets up to SMALL compare all pairs. Larger ones are first cut into blocks of BLOCK rows that share
 # PIVOTS rows; what stays apart is then compared over all pairs of blocks.
@@ -34,13 +37,20 @@ OFFSETS = _RNG.integers(0, 1 << 32, VALUES, dtype=np.uint32)
 
 def sketch(text: str | None) -> np.ndarray | None:
     """The least of each of VALUES linear hashes over the shingles; None without words."""
-    least = None
+    return marks(text)[0]
+
+
+def marks(text: str | None) -> tuple[np.ndarray | None, int]:
+    """The sketch and the signed SimHash fingerprint (a bit is 1 if set in over half the shingle hashes)."""
+    least, ones, n = None, np.zeros(64, np.int64), 0
     for hashes in shingle_hashes(text, SIZE):
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
         short = (hashes >> np.uint64(32)).astype(np.uint32)
         for at in range(0, len(short), 1024):
             part = (short[at:at + 1024, None] * FACTORS + OFFSETS).min(axis=0)
             least = part if least is None else np.minimum(least, part)
-    return least
+    return least, int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
 def similarity(a: str, b: str) -> float:
@@ -139,8 +149,7 @@ def near_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     def linked(unsure: DataFrame) -> DataFrame:
         return map_rows(unsure.join(one, "u").join(two, "v"), "u long, v long", decide)
 
-    links = kept(pairs.where("sure").select("u", "v").unionByName(linked(pairs.where("not sure").select("u", "v"))),
-                 "near-links")
+    links = kept(linked(pairs.select("u", "v")), "near-links")
     roots = components(links).select(F.col("u").alias("id"), F.col("v").alias("root"))
     named = kept(held.join(crowded.where(F.col("n") > SMALL), "bucket").join(roots, "id", "left")
                  .select("bucket", "id", F.coalesce("root", "id").alias("root")), "near-places")
@@ -173,6 +182,29 @@ def near_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     return links.unionByName(linked(more))
 
 
+def simhash_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v): links between classes (id, fp) of different texts (id, text) whose fingerprints lie within REACH bits.
+
+    Classes of one fingerprint meet its least class; the tree's links between fingerprints join their least classes.
+    Each proposed pair is decided on the exact sets.
+    """
+    prints = kept(classes.groupBy("fp").agg(F.min("id").alias("least")), "near-prints")
+    same = classes.join(prints, "fp").where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    tied = fingerprint_links(prints.select("fp"), REACH)
+    across = tied.join(prints.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u") \
+        .join(prints.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v").select("a", "b")
+    pairs = same.unionByName(across).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    one = texts.select(F.col("id").alias("u"), F.col("text").alias("one"))
+    two = texts.select(F.col("id").alias("v"), F.col("text").alias("two"))
+
+    def decide(stream: Iterator[dict]) -> Iterator[tuple]:
+        for row in stream:
+            if similarity(row["one"], row["two"]) >= SIMILARITY:
+                yield row["u"], row["v"]
+
+    return map_rows(pairs.join(one, "u").join(two, "v"), "u long, v long", decide)
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group: columns of ``documents``.
 
@@ -184,22 +216,24 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     def marked(stream: Iterator[dict]) -> Iterator[tuple]:
         for row in stream:
             name = xxhash.xxh64_intdigest(b" ".join(w.lower() for w in words(row["text"])))
-            least = sketch(row["text"])
+            least, fp = marks(row["text"])
             bands, values = [], None
             if least is not None:
                 bands = [xxhash.xxh64_intdigest(least[ROWS * b:ROWS * (b + 1)].tobytes(), b) - (1 << 63)
                          for b in range(BANDS)]
                 values = (least & np.uint32(0xFFFF)).astype(np.uint16).tobytes()
-            yield row["key"], row["key2"], row["doc_id"], name - (1 << 63), values, bands
+            yield row["key"], row["key2"], row["doc_id"], name - (1 << 63), values, bands, fp
 
     frame = docs.select(F.col("doc_id").cast("long"), "text", *row_keys("doc_id", "text"))
-    rows = kept(map_rows(frame, "key long, key2 long, doc_id long, id long, sketch binary, bands array<long>", marked),
-                "near-sketches")
+    rows = kept(map_rows(frame, "key long, key2 long, doc_id long, id long, sketch binary, bands array<long>, fp long",
+                         marked), "near-sketches")
     classes = rows.groupBy("id").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"),
-                                     F.min(F.struct("key", "key2")).alias("row"))
+                                     F.first("fp").alias("fp"), F.min(F.struct("key", "key2")).alias("row"))
     kept_rows = classes.select("id", "row.key", "row.key2")
     texts = frame.join(kept_rows, ["key", "key2"]).select("id", "text").dropDuplicates(["id"])
-    links = near_links(classes.where("sketch is not null").select("id", "sketch", "bands"), texts)
+    worded = classes.where("sketch is not null")
+    links = near_links(worded.select("id", "sketch", "bands"), texts) \
+        .unionByName(simhash_links(worded.select("id", "fp"), texts))
     roots = components(links).select(F.col("u").alias("id"), F.col("v").alias("root"))
     stays = rows.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root")) \
         .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "key2")).alias("least")) \

@@ -108,3 +108,21 @@ def test_pairs_across_blocks_of_a_dense_group(spark, monkeypatch):
     rows = [(k, t, "en", "s", len(t), 1, 2) for k, t in texts.items()]
     left = {r["doc_id"] for r in near_dups.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
     assert left == brute(texts) == set(range(0, 160, 2))
+
+
+def test_simhash_proposes_and_exact_sets_decide(spark):
+    rng = random.Random(9)
+    words = ["s%d" % rng.randrange(4000) for _ in range(400)]
+    other = " ".join("t%d" % rng.randrange(4000) for _ in range(400))
+    for _ in range(200):
+        texts = {1: " ".join(words), 2: " ".join(changed(rng, words, 1)), 3: other}
+        fps = {k: near_dups.marks(t)[1] for k, t in texts.items()}
+        if bin((fps[1] ^ fps[2]) & ((1 << 64) - 1)).count("1") <= near_dups.REACH:
+            break
+    assert bin((fps[1] ^ fps[2]) & ((1 << 64) - 1)).count("1") <= near_dups.REACH
+    classes = spark.createDataFrame([(k, fps[k]) for k in texts], "id long, fp long")
+    found = spark.createDataFrame(list(texts.items()), "id long, text string")
+    assert {tuple(r) for r in near_dups.simhash_links(classes, found).collect()} == {(2, 1)}
+    # Equal fingerprints of texts under 0.8 alike are no link.
+    tied = spark.createDataFrame([(1, 5), (3, 5)], "id long, fp long")
+    assert near_dups.simhash_links(tied, found).count() == 0
