@@ -22,6 +22,8 @@ _QUERIES: dict[str, Query] = {}
 DAY_SCALE_TIMEOUT = 200 * verify.DAY
 # Streams read the orders in this many landings; within them rows are this many days out of order.
 LANDINGS, SCRAMBLED_DAYS = 6, 30
+# Runs a task takes where each run's logs are made and read with many patterns.
+LOG_ROWS_A_TASK = 20_000
 
 
 def query(fn: Query) -> Query:
@@ -823,12 +825,18 @@ def sql_functions(t: Tables) -> DataFrame:
         F.expr("parse_job_id(concat('check job ', run_id))").alias("job_ref"))
 
 
+def _spread(df: DataFrame, rows_a_task: int = LOG_ROWS_A_TASK) -> DataFrame:
+    """Rows dealt over every core, and more tasks as they grow: a small file is one split, but its rows are costly."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_a_task))
+    return df.repartition(tasks)
+
+
 def _logs_json(t: Tables) -> DataFrame:
     """Logs as JSON text; runs of priority 5 send text that is no JSON."""
     stdout, stderr = t.log_texts(F.col("o_orderkey"))
     body = F.when(F.col("o_orderpriority").startswith("5"), F.lit("{not json")).otherwise(
         F.to_json(F.struct(stdout.alias("stdout"), stderr.alias("stderr"))))
-    return t.table("orders").select(F.col("o_orderkey").alias("run_id"), body.alias("logs"))
+    return _spread(t.table("orders")).select(F.col("o_orderkey").alias("run_id"), body.alias("logs"))
 
 
 @query
