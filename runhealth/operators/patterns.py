@@ -1,8 +1,10 @@
-"""Tag lines by a table of patterns, through an index of the patterns' literals by trigram.
+"""Tag lines by a table of patterns, through an index of the patterns' literals by gram.
 
-Every match of a pattern holds its literal, so it holds each trigram of that. A pattern is entered in the index under the trigram that the fewest
-patterns share; a line meets only the patterns entered under its own trigrams, and a regular expression runs only
-where the whole literal is there.
+Every match of a pattern holds its literal, so it holds each run of characters in that. A pattern's grams are the runs of its literal as long
+as the literal, up to ``GRAM`` characters; it is entered in the index under the gram that the fewest patterns share. A line meets only the
+patterns entered under its own grams of 3 to ``GRAM`` characters, and a regular expression runs only where the whole literal is there.
+Grams longer than three characters keep apart patterns that differ in a number: a million ``job_<n>`` patterns share every trigram of digits,
+and a line with one of those would meet a share of all patterns that grows with the table.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 PLAIN = r"^(?:[A-Za-z0-9 _'\":;,<>=!@#%&/~`-]|\\[^A-Za-z0-9\s])+"
 FOLD = r"^\(\?i\)"
 INDEX_ROWS = 1 << 20
+GRAM = 8
 
 
 def literal_of(pattern: Column) -> Column:
@@ -26,18 +29,27 @@ def literal_of(pattern: Column) -> Column:
     return F.when((F.length(literal) >= 3) & ~pattern.contains("|"), literal)
 
 
-def trigrams(text: Column) -> Column:
-    """The different runs of three characters."""
-    places = F.sequence(F.lit(1), F.length(text) - 2)
-    return F.when(F.length(text) >= 3, F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(3)))))
+def grams(text: Column, size: Column | int) -> Column:
+    """The different runs of ``size`` characters."""
+    size = F.lit(size) if isinstance(size, int) else size
+    places = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(places, lambda i: F.substring(text, i, size))))
+
+
+def line_grams(text: Column) -> Column:
+    """The different runs of 3 to ``GRAM`` characters."""
+    empty = F.array().cast("array<string>")
+    return F.flatten(F.array(*[F.coalesce(grams(text, size), empty) for size in range(3, GRAM + 1)]))
 
 
 def pattern_index(patterns: DataFrame) -> DataFrame:
-    """(gram, name, pattern, literal) of patterns with a literal, each under its rarest trigram."""
-    grams = patterns.where("literal IS NOT NULL").select("name", "pattern", "literal", F.explode(trigrams(F.col("literal"))).alias("gram"))
-    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    """(gram, name, pattern, literal) of patterns with a literal, each under its rarest gram."""
+    literal = F.col("literal")
+    grams_of = patterns.where("literal IS NOT NULL").select(
+        "name", "pattern", "literal", F.explode(grams(literal, F.least(F.length(literal), F.lit(GRAM)))).alias("gram"))
+    shared = grams_of.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
     rarest = F.min_by("gram", F.struct("_n", "gram"))
-    return grams.join(shared, "gram").groupBy("name", "pattern", "literal").agg(rarest.alias("gram"))
+    return grams_of.join(shared, "gram").groupBy("name", "pattern", "literal").agg(rarest.alias("gram"))
 
 
 def tag_patterns(lines: DataFrame, patterns: DataFrame, key: list[str], text: str = "message", index_rows: int = INDEX_ROWS) -> DataFrame:
@@ -55,7 +67,7 @@ def tag_patterns(lines: DataFrame, patterns: DataFrame, key: list[str], text: st
     held = lines.select(*key, F.col(text).alias("_text")).where("_text IS NOT NULL")
     small = known.limit(index_rows + 1).count() <= index_rows
     sides = F.broadcast if small else (lambda df: df)
-    by_gram = held.withColumn("gram", F.explode(trigrams(F.lower("_text")))).join(sides(index), "gram") \
+    by_gram = held.withColumn("gram", F.explode(line_grams(F.lower("_text")))).join(sides(index), "gram") \
         .where(F.lower("_text").contains(F.col("literal")) & F.expr("_text RLIKE pattern"))
     loose = known.where("literal IS NULL").select("name", "pattern")
     on_every_line = held.join(sides(loose), F.expr("_text RLIKE pattern"))
