@@ -44,11 +44,15 @@ def decisions(turns: pd.DataFrame, waiting: str | None) -> tuple[pd.DataFrame, s
     return out, state[-1]
 
 
+BUFFER = ("next_turn bigint, fix_id string, turns array<bigint>, ats array<bigint>, names_job array<boolean>, offered array<string>, "
+          "approves array<boolean>, rejects array<boolean>")
+
+
 class TurnBuffer(StatefulProcessor):
     """The next turn and the waiting fix of each conversation, and the turns that came before their turn.
 
     Turns are released in sequence. What a missing turn holds back is released ``patience`` after it arrived by
-    event time, when there are event times.
+    event time, when there are event times. A conversation's state is one value, read and written once a batch.
     """
 
     def __init__(self, first_turn: int, patience_ms: int | None):
@@ -56,15 +60,18 @@ class TurnBuffer(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.reached = handle.getValueState("reached", "next_turn bigint, fix_id string")
-        self.held = handle.getMapState("held", "turn bigint", "at bigint, names_job boolean, offered string, approves boolean, rejects boolean")
+        self.buffer = handle.getValueState("buffer", BUFFER)
 
-    def _waiting_turns(self) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *value) for key, value in self.held.iterator()], columns=HELD)
+    def _load(self) -> tuple[int, str | None, pd.DataFrame]:
+        value = self.buffer.get()
+        if value is None:
+            return self.first_turn, None, pd.DataFrame({n: [] for n in HELD})
+        following, fix, *columns = value
+        return int(following), fix, pd.DataFrame(dict(zip(HELD, (list(c) for c in columns))))
 
-    def _release(self, key, buffered: pd.DataFrame, fresh: pd.DataFrame, up_to: int) -> Iterator[pd.DataFrame]:
+    def _release(self, key, buffered: pd.DataFrame, fresh: pd.DataFrame, up_to: int, following: int,
+                 fix: str | None) -> Iterator[pd.DataFrame]:
         """Decide all turns in sequence, and every turn up to ``up_to``; keep the rest. A turn that was passed is dropped."""
-        following, fix = self.reached.get() if self.reached.exists() else (self.first_turn, None)
         turns = pd.concat([f for f in (buffered, fresh) if len(f)] or [fresh]).drop_duplicates("turn").sort_values("turn")
         turns = turns[turns["turn"] >= following].reset_index(drop=True)
         number = turns["turn"].to_numpy(np.int64)
@@ -74,27 +81,28 @@ class TurnBuffer(StatefulProcessor):
         n = forced + (int(run.argmin()) if not run.all() else len(run))
         if n:
             decided, fix = decisions(turns.iloc[:n], fix)
-            self.reached.update((int(number[n - 1]) + 1, fix))
-            for turn in set(buffered["turn"].tolist()) & set(number[:n].tolist()):
-                self.held.removeKey((int(turn),))
+            following = int(number[n - 1]) + 1
             if len(decided):
                 decided.insert(0, "conv_id", key[0])
                 yield decided
-        for row in turns.iloc[n:][~turns["turn"].iloc[n:].isin(buffered["turn"])].itertuples(index=False):
-            self.held.updateValue((int(row.turn),), (
-                int(row.at), bool(row.names_job), row.offered if isinstance(row.offered, str) else None, bool(row.approves), bool(row.rejects)))
-            if self.patience_ms is not None:
-                self.handle.registerTimer(int(row.at) + self.patience_ms)
+        rest = turns.iloc[n:]
+        self.buffer.update((following, fix, [int(x) for x in rest["turn"]], [int(x) for x in rest["at"]],
+                            [bool(x) for x in rest["names_job"]], [x if isinstance(x, str) else None for x in rest["offered"]],
+                            [bool(x) for x in rest["approves"]], [bool(x) for x in rest["rejects"]]))
+        if self.patience_ms is not None:
+            for at in rest["at"][~rest["turn"].isin(buffered["turn"])]:
+                self.handle.registerTimer(int(at) + self.patience_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         fresh = pd.concat(list(rows))[HELD]
-        yield from self._release(key, self._waiting_turns(), fresh, self.first_turn - 1)
+        following, fix, held = self._load()
+        yield from self._release(key, held, fresh, self.first_turn - 1, following, fix)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self._waiting_turns()
+        following, fix, held = self._load()
         due = held[held["at"] + self.patience_ms <= expiredTimerInfo.getExpiryTimeInMs()]
         if len(due):
-            yield from self._release(key, held, held.iloc[:0], int(due["turn"].max()))
+            yield from self._release(key, held, held.iloc[:0], int(due["turn"].max()), following, fix)
 
 
 def approvals_stream(chat: DataFrame, job_fixes: DataFrame, word_boundary: bool = False, first_turn: int = 0,
