@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession, functions as F
 
 from runhealth.functions import diagnosis as dx, intent, remedy, reporting
-from runhealth.functions.text import strip
+from runhealth.functions.text import once, strip
 
 
 def _quoted(text: str) -> str:
@@ -49,10 +49,13 @@ def register_functions(spark: SparkSession) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
 
 
-def _logs_struct(logs_json: Column) -> tuple[Column, Column]:
-    parsed = F.from_json(logs_json, "stdout string, stderr string, _corrupt_record string", {"mode": "PERMISSIVE"})
+def _logs_struct(logs_json: Column) -> Column:
+    return F.from_json(logs_json, "stdout string, stderr string, _corrupt_record string", {"mode": "PERMISSIVE"})
+
+
+def _is_bad(logs_json: Column, parsed: Column) -> Column:
     bad = logs_json.isNull() | ~strip(logs_json).startswith("{") | parsed["_corrupt_record"].isNotNull()
-    return parsed, F.coalesce(bad, F.lit(True))
+    return F.coalesce(bad, F.lit(True))
 
 
 def _error(text: str) -> Column:
@@ -61,20 +64,23 @@ def _error(text: str) -> Column:
 
 def diagnose_json(logs_json: Column) -> Column:
     """Diagnose logs given as ``{"stdout": .., "stderr": ..}``; bad input gives ``{"error": ..}``."""
-    logs, bad = _logs_struct(logs_json)
-    stderr = logs["stderr"]
-    blank = dx.is_blank(logs["stdout"]) & dx.is_blank(stderr)
-    issue = F.when(blank, F.lit(dx.UNKNOWN)).otherwise(dx.issue_type_of(stderr))
-    answer = F.struct(
-        issue.alias("issue_type"),
-        F.when(blank, F.lit(dx.EMPTY_CONFIDENCE)).otherwise(F.lit(dx.TEXT_CONFIDENCE)).alias("confidence"),
-        dx.issue_detected(issue).alias("issue_detected"),
-        dx.evidence_lines(stderr).alias("evidence"),
-    )
-    return F.when(bad, _error("logs are not a JSON object")).otherwise(F.to_json(answer))
+    def answer(logs: Column) -> Column:
+        stderr = logs["stderr"]
+        blank = dx.is_blank(logs["stdout"]) & dx.is_blank(stderr)
+        issue = F.when(blank, F.lit(dx.UNKNOWN)).otherwise(dx.issue_type_of(stderr))
+        found = once(issue, lambda issue: F.struct(
+            issue.alias("issue_type"),
+            F.when(blank, F.lit(dx.EMPTY_CONFIDENCE)).otherwise(F.lit(dx.TEXT_CONFIDENCE)).alias("confidence"),
+            dx.issue_detected(issue).alias("issue_detected"),
+            dx.evidence_lines(stderr).alias("evidence"),
+        ))
+        return F.when(_is_bad(logs_json, logs), _error("logs are not a JSON object")).otherwise(F.to_json(found))
+    return once(_logs_struct(logs_json), answer)
 
 
 def suggest_fix_json(issue_type: Column, logs_json: Column) -> Column:
-    logs, bad = _logs_struct(logs_json)
-    return F.when(bad, _error("logs are not a JSON object")).otherwise(
-        F.to_json(remedy.suggest_fix(issue_type, logs["stderr"])))
+    """The remedy for an issue and its logs, as JSON; bad input gives ``{"error": ..}``."""
+    def answer(logs: Column) -> Column:
+        found = once(issue_type, lambda issue: F.to_json(remedy.suggest_fix(issue, logs["stderr"])))
+        return F.when(_is_bad(logs_json, logs), _error("logs are not a JSON object")).otherwise(found)
+    return once(_logs_struct(logs_json), answer)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -17,6 +18,14 @@ def succeeded(flag: Column, status: Column) -> Column:
     return F.coalesce(F.nullif(flag, F.lit(False)), status == "success", F.lit(False))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once a row, however often ``then`` names it.
+
+    Spark copies a column's expression to each place that names it and evaluates the copies in branches again.
+    """
+    return F.transform(F.array(value), then)[0]
+
+
 def contains_any(text: Column, terms: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(t) for t in terms])
 

@@ -850,7 +850,7 @@ def diagnose_json(t: Tables) -> DataFrame:
 def suggest_fix_json(t: Tables) -> DataFrame:
     stderr = F.get_json_object("logs", "$.stderr")
     answer = F.from_json("answer", "fix_type string, fix_confidence double, packages array<string>, error string")
-    return (_logs_json(t).withColumn("answer", sqlfuncs.suggest_fix_json(dx.issue_type_of(stderr), F.col("logs")))
+    return (_logs_json(t).withColumn("answer", sqlfuncs.suggest_fix_json(text.once(stderr, dx.issue_type_of), F.col("logs")))
             .withColumn("a", answer)
             .select("run_id", "a.fix_type", "a.fix_confidence", F.array_join("a.packages", "|").alias("packages"), "a.error"))
 
