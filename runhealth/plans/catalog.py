@@ -929,7 +929,7 @@ def verify_stream(t: Tables) -> DataFrame:
     status = t.run_status(F.col("o_orderstatus"))
     live = one_a_trigger(t.spark, path, orders).select(
         F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("job_id"), F.col("o_orderdate").alias("start_ts"),
-        status.alias("status"), F.when(status == "FAILED", dx.issue_type_of(stderr)).alias("issue_type"))
+        status.alias("status"), F.when(status == "FAILED", text.once(stderr, dx.issue_type_of)).alias("issue_type"))
     fixes = live.where(F.col("status") == "FAILED").select(
         remedy.fix_id(F.col("run_id"), F.lit("live")).alias("fix_id"), "job_id", F.col("start_ts").alias("fix_ts"), "issue_type")
     answers = verify_live.verify_stream(fixes, live, DAY_SCALE_TIMEOUT, f"{SCRAMBLED_DAYS + 1} days")

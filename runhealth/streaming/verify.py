@@ -1,15 +1,18 @@
 """Check fixes against later runs as both arrive.
 
 Time is cut into buckets, by default one timeout long, so the runs that can answer a fix lie
-in its own bucket or the next ones. Work is keyed by (job, bucket), never by job
-alone: a job with a third of all runs is spread over as many keys as buckets.
+in its own bucket or the next ones, and jobs are dealt into shards by hash. Work is keyed by
+(shard, bucket), never by job alone: a job with a third of all runs is spread over as many keys
+as buckets. Jobs share a key because each call into Python costs milliseconds, whatever its rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,6 +22,8 @@ from runhealth.operators.verify import DAY, FINISHED, TIMEOUT_SECONDS, outcome
 ANSWER = ("fix_id string, job_id string, fix_issue string, buckets int, next_run_id string, "
           "next_at bigint, next_status string, next_issue string")
 RUN, FIX = 0, 1
+# Shards of jobs. A checkpoint holds for the number it was made with; a key's rows of one bucket are in one task's memory.
+SHARDS = 16
 
 
 def arrivals(fixes: DataFrame, runs: DataFrame, timeout_seconds: int = TIMEOUT_SECONDS,
@@ -44,25 +49,43 @@ def arrivals(fixes: DataFrame, runs: DataFrame, timeout_seconds: int = TIMEOUT_S
     )
 
 
-RUNS = "ats array<bigint>, ids array<string>, statuses array<string>, issues array<string>"
-OPEN = "at bigint, deadline bigint, issue_type string, buckets int"
+BLOCK = "block binary"
+RUNS = pa.schema([("job_id", pa.string()), ("at", pa.int64()), ("id", pa.string()), ("status", pa.string()), ("issue_type", pa.string())])
+OPEN = pa.schema([("job_id", pa.string()), ("at", pa.int64()), ("id", pa.string()), ("deadline", pa.int64()),
+                  ("issue_type", pa.string()), ("buckets", pa.int32())])
 
 
-def _text(value) -> str | None:
-    return None if pd.isna(value) else value
+def packed(rows: pd.DataFrame, schema: pa.Schema) -> tuple[bytes]:
+    """Rows as one Arrow stream, so that state takes and gives them whole, not value by value."""
+    batch = pa.record_batch([pa.array(rows[f.name], f.type, from_pandas=True) for f in schema], schema=schema)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, schema) as stream:
+        stream.write_batch(batch)
+    return (out.getvalue().to_pybytes(),)
+
+
+def unpacked(blocks: Iterator[tuple], schema: pa.Schema) -> pd.DataFrame:
+    tables = [pa.ipc.open_stream(bytes(block)).read_all() for (block,) in blocks]
+    return pa.concat_tables([schema.empty_table(), *tables]).to_pandas()
 
 
 def _firsts(runs: pd.DataFrame) -> pd.DataFrame:
-    """The first run of each time, in order of time: smaller number, then id."""
-    number = pd.to_numeric(runs["id"], errors="coerce")
-    return runs.assign(_number=number).sort_values(["at", "_number", "id"]).drop_duplicates("at").drop(columns="_number")
+    """The first run of each job and time: smaller number, then id."""
+    tied = runs.duplicated(["job_id", "at"], keep=False).to_numpy()
+    if not tied.any():
+        return runs
+    some = runs[tied]
+    number = pd.to_numeric(some["id"], errors="coerce")
+    some = some.assign(_number=number).sort_values(["at", "_number", "id"]).drop_duplicates(["job_id", "at"])
+    return pd.concat([runs[~tied], some.drop(columns="_number")], ignore_index=True)
 
 
 class FixTimers(StatefulProcessor):
-    """The open fixes of a job and bucket, a timer each, and its runs in a map by day.
+    """The open fixes of a shard's jobs in one bucket and their runs, as blocks of rows, and a timer for the earliest due fix.
 
-    A fix is answered when the watermark passes its deadline, or the end of the bucket where that comes first, from the days it
-    spans. A day goes when no open fix and no row that may still come can need it.
+    A fix is due when the watermark passes its deadline, or the end of the bucket where that comes first; the timer then answers
+    all that are due and moves to the next. A batch only appends its rows. Runs go with the day that no open fix of their job and
+    no row that may still come can need, at the latest with the bucket.
     """
 
     def __init__(self, bucket_seconds: int):
@@ -70,74 +93,83 @@ class FixTimers(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.runs = handle.getMapState("runs", "day bigint", RUNS)
-        self.fixes = handle.getMapState("fixes", "fix_id string", OPEN)
+        self.runs = handle.getListState("runs", BLOCK)
+        self.fixes = handle.getListState("fixes", BLOCK)
 
-    def _day(self, day: int) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip(("at", "id", "status", "issue_type"), self.runs.getValue((day,)))))
+    def _bucket_end(self, key) -> int:
+        return (int(key[1]) + 1) * self.bucket_seconds
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows))
-        bucket_end = (int(key[1]) + 1) * self.bucket_seconds
-        runs = frame[frame["kind"] == RUN]
-        for day, some in runs.groupby(runs["at"] // DAY):
-            day = int(day)
-            some = some[["at", "id", "status", "issue_type"]]
-            known = _firsts(pd.concat([self._day(day), some]) if self.runs.containsKey((day,)) else some)
-            self.runs.updateValue((day,), (
-                [int(x) for x in known["at"]], known["id"].tolist(), known["status"].tolist(), [_text(x) for x in known["issue_type"]]))
-        for fix in frame[frame["kind"] == FIX].itertuples(index=False):
-            self.fixes.updateValue((fix.id,), (int(fix.at), int(fix.deadline), _text(fix.issue_type), int(fix.buckets)))
-            self.handle.registerTimer(min(int(fix.deadline), bucket_end) * 1000)
-        self.handle.registerTimer(bucket_end * 1000)
+        frame = pd.concat(list(rows), ignore_index=True)
+        is_fix = frame["kind"].to_numpy() == FIX
+        runs, fixes = frame[~is_fix], frame[is_fix]
+        if len(runs):
+            self.runs.appendValue(packed(_firsts(runs), RUNS))
+        if len(fixes):
+            self.fixes.appendValue(packed(fixes, OPEN))
+        due = int(min([self._bucket_end(key), *fixes["deadline"]])) * 1000
+        known = list(self.handle.listTimers())
+        if not known or due < min(known):
+            for timer in known:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        bucket_end = (int(key[1]) + 1) * self.bucket_seconds
-        now = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        fixes = pd.DataFrame([(*k, *v) for k, v in self.fixes.iterator()], columns=["fix_id", "at", "deadline", "fix_issue", "buckets"])
-        due = fixes[fixes["deadline"].clip(upper=bucket_end) <= now].sort_values("at")
-        days = sorted(int(k[0]) for k in self.runs.keys())
+        bucket_end = self._bucket_end(key)
+        watermark = timerValues.getCurrentWatermarkInMs() // 1000
+        fixes = unpacked(self.fixes.get(), OPEN).drop_duplicates(["job_id", "id"], keep="last")
+        is_due = np.minimum(fixes["deadline"].to_numpy(), bucket_end) <= watermark
+        due, still = fixes[is_due], fixes[~is_due]
+        if len(due) or watermark < bucket_end:
+            runs = unpacked(self.runs.get(), RUNS)
         if len(due):
-            first, last = int(due["at"].min()) // DAY, int(due["deadline"].max()) // DAY
-            held = [self._day(day) for day in days if first <= day <= last]
-            yield self._answers(str(key[0]), due, pd.concat(held) if held else None)
-            for fix_id in due["fix_id"]:
-                self.fixes.removeKey((fix_id,))
+            yield self._answers(due, _firsts(runs))
+        if watermark >= bucket_end:
+            self.fixes.clear()
+            self.runs.clear()
+            return
+        if len(due):
+            self.fixes.put([packed(still, OPEN)])
         # Rows at or before the watermark are dropped, so a fix still to come is later than that.
-        watermark = timerValues.getCurrentWatermarkInMs() // 1000
-        needed = min([watermark, *fixes["at"][~fixes["fix_id"].isin(due["fix_id"])]]) // DAY
-        for day in days:
-            if day < needed or now >= bucket_end:
-                self.runs.removeKey((day,))
+        needed = runs["job_id"].map(still.groupby("job_id", dropna=False)["at"].min()).fillna(watermark).clip(upper=watermark) // DAY
+        kept = runs[(runs["at"] // DAY >= needed).to_numpy()]
+        if len(kept) < len(runs):
+            self.runs.put([packed(kept, RUNS)])
+        self.handle.registerTimer(int(min([bucket_end, *still["deadline"]])) * 1000)
 
     @staticmethod
-    def _answers(job: str, due: pd.DataFrame, runs: pd.DataFrame | None) -> pd.DataFrame:
-        empty = pd.DataFrame({"next_at": pd.Series(dtype="int64"), "next_run_id": [], "next_status": [], "next_issue": []})
-        firsts = empty if runs is None else runs.sort_values("at").rename(
-            columns={"at": "next_at", "id": "next_run_id", "status": "next_status", "issue_type": "next_issue"})
-        paired = pd.merge_asof(due.astype({"at": "int64"}), firsts.astype({"next_at": "int64"}), left_on="at", right_on="next_at",
-                               direction="forward", allow_exact_matches=False)
-        late = ~(paired["next_at"] <= paired["deadline"])
-        answer = pd.DataFrame({
-            "fix_id": paired["fix_id"], "job_id": job, "fix_issue": paired["fix_issue"], "buckets": paired["buckets"].astype("int32"),
-            "next_run_id": paired["next_run_id"].astype(object), "next_at": paired["next_at"].astype("Int64"),
-            "next_status": paired["next_status"].astype(object), "next_issue": paired["next_issue"].astype(object)})
-        answer.loc[late, ["next_run_id", "next_at", "next_status", "next_issue"]] = None
-        return answer
+    def _answers(due: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        """Each fix with the first run of its job after it, if that is in time."""
+        jobs, _ = pd.factorize(np.concatenate([due["job_id"], runs["job_id"]]), use_na_sentinel=False)
+        at = np.concatenate([due["at"], runs["at"]]).astype("int64")
+        # Job and time in one number: runs in its order, and each fix's place among them.
+        place = jobs * (at.max() - at.min() + 1) + at - at.min()
+        order = np.argsort(place[len(due):])
+        after = np.searchsorted(place[len(due):][order], place[:len(due)], side="right")
+        first = np.append(order, -1)[after]
+        found = (first >= 0) & (np.append(jobs, -1)[len(due):][first] == jobs[:len(due)])
+        found &= np.append(at, 0)[len(due):][first] <= due["deadline"].to_numpy()
+        run = runs.iloc[first[found]].set_axis(np.flatnonzero(found)).reindex(range(len(due)))
+        return pd.DataFrame({
+            "fix_id": due["id"].to_numpy(), "job_id": due["job_id"].map(str).to_numpy(), "fix_issue": due["issue_type"].to_numpy(),
+            "buckets": due["buckets"].to_numpy(), "next_run_id": run["id"], "next_at": run["at"].astype("Int64"),
+            "next_status": run["status"], "next_issue": run["issue_type"]})
 
 
 def verify_stream(fixes: DataFrame, runs: DataFrame, timeout_seconds: int = TIMEOUT_SECONDS,
-                  lateness: str | None = None, bucket_seconds: int | None = None) -> DataFrame:
+                  lateness: str | None = None, bucket_seconds: int | None = None, shards: int = SHARDS) -> DataFrame:
     """One row per fix and bucket: the first run that answers it there, or none.
 
     Fixes and runs may arrive in any order and over any number of triggers; rows later than ``lateness`` (by default the
     timeout) are dropped by the watermark, and a fix is answered once that passes its deadline. Buckets are one timeout long, or
-    ``bucket_seconds`` where one timeout of a job's runs is too much for one task. Read the result with ``settled``.
+    ``bucket_seconds`` where one timeout of a job's runs is too much for one task; ``shards`` keys share a bucket's jobs. Read the
+    result with ``settled``.
     """
     width = bucket_seconds or timeout_seconds
     both = arrivals(fixes, runs, timeout_seconds, width).withWatermark("ts", lateness or f"{timeout_seconds} seconds")
-    return both.groupBy("job_id", "bucket").transformWithStateInPandas(
+    shard = F.pmod(F.xxhash64("job_id"), F.lit(shards)).cast("int")
+    return both.withColumn("shard", shard).groupBy("shard", "bucket").transformWithStateInPandas(
         statefulProcessor=FixTimers(width), outputStructType=ANSWER, outputMode="append", timeMode="EventTime")
 
 
