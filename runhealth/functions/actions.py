@@ -1,7 +1,9 @@
 """The five actions as SQL functions that return a table: JSON in, one row out, bad input in its ``error``.
 
 Spark inlines them into the plan, so a lateral call over a table of requests is one query: lookups become
-joins, the rest stays in generated code.
+joins, the rest is projections. What a body names many times is bound by ``_once``, as inlining copies the
+expression to each place. A function that looks up joins its requests with themselves, so a chain of
+them should read stored requests.
 """
 
 from __future__ import annotations
@@ -9,21 +11,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from runhealth.functions import diagnosis as dx, remedy, reporting
-from runhealth.functions.sqlfuncs import _quoted, register_functions
+from runhealth.functions.sqlfuncs import _quoted, classified, register_functions
 
 BAD_LOGS, BAD_PARAMETERS, BAD_REASONING = (f"{what} are not a JSON {kind}" for what, kind in (
     ("logs", "object"), ("parameters", "object"), ("reasoning steps", "array")))
 RUNS, CLUSTERS, VERIFIED = "runhealth_runs", "runhealth_clusters", "runhealth_verified"
 
 
+def _once(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _parsed(json: str, schema: str) -> str:
     return f"from_json({json}, {_quoted(schema + ', _corrupt_record STRING')})"
 
 
-def _is_object(json: str, schema: str, opens: str = "{") -> str:
-    """Whether the text is JSON of this shape."""
-    corrupt = f"{_parsed(json, schema)}._corrupt_record" if opens == "{" else f"IF({_parsed_array(json, schema)} IS NULL, 'bad', NULL)"
-    return f"({json} IS NOT NULL AND startswith(trim(LEADING ' \\t\\n\\r' FROM {json}), {_quoted(opens)}) AND {corrupt} IS NULL)"
+def _opens(json: str, opens: str = "{") -> str:
+    return f"({json} IS NOT NULL AND startswith(trim(LEADING ' \\t\\n\\r' FROM {json}), {_quoted(opens)}))"
 
 
 def _parsed_array(json: str, schema: str) -> str:
@@ -38,72 +43,103 @@ def _by_issue(issue: str, values: dict[str, str]) -> str:
 _LOGS = "stdout STRING, stderr STRING"
 _PARAMETERS = "memory_increment STRING, packages ARRAY<STRING>"
 _STEPS = "step STRING, details STRING, result STRING"
-_PACKAGES = (f"concat(regexp_extract_all(stderr, {_quoted(dx.PYTHON_PACKAGE)}, 1), transform(regexp_extract_all(stderr, "
-             f"{_quoted(dx.JVM_PACKAGE)}, 1), x -> trim(BOTH ' \\t\\n\\r' FROM element_at(split(x, '[.]'), -1))))")
-_STDERR = f"{_parsed('logs_json', _LOGS)}.stderr"
-_STDOUT = f"{_parsed('logs_json', _LOGS)}.stdout"
-_BLANK = f"(coalesce(trim({_STDOUT}), '') = '' AND coalesce(trim({_STDERR}), '') = '')"
+_BLANK = "(coalesce(trim(logs.stdout), '') = '' AND coalesce(trim(logs.stderr), '') = '')"
+
+
+def _packages(stderr: str) -> str:
+    return (f"concat(regexp_extract_all({stderr}, {_quoted(dx.PYTHON_PACKAGE)}, 1), transform(regexp_extract_all({stderr}, "
+            f"{_quoted(dx.JVM_PACKAGE)}, 1), x -> trim(BOTH ' \\t\\n\\r' FROM element_at(split(x, '[.]'), -1))))")
+
+
+def _named(stderr: str) -> str:
+    return f"size({_packages(stderr)}) > 0"
+
+
+def _gc(stderr: str) -> str:
+    return f"coalesce(contains({stderr}, {_quoted(remedy.GC_PRESSURE)}), false)"
+
+
+def _issue(stderr: str) -> str:
+    return _once(classified(stderr), "keyword", (
+        f"CASE WHEN {stderr} IS NULL THEN {_quoted(dx.UNKNOWN)} WHEN keyword <> {_quoted(dx.UNKNOWN)} THEN keyword "
+        f"WHEN {stderr} RLIKE {_quoted(dx.SIGNATURES['oom'])} THEN {_quoted(dx.MEMORY)} "
+        f"WHEN {stderr} RLIKE {_quoted(dx.SIGNATURES['library'])} OR {_named(stderr)} THEN {_quoted(dx.DEPENDENCY)} ELSE {_quoted(dx.UNKNOWN)} END"))
+
+
+def _fix_confidence(issue: str, stderr: str) -> str:
+    return _by_issue(issue, {
+        dx.MEMORY: f"CASE WHEN {_gc(stderr)} THEN {remedy.GC_CONFIDENCE}D ELSE {remedy.BASE_CONFIDENCE[dx.MEMORY]}D END",
+        dx.DISK: f"{remedy.BASE_CONFIDENCE[dx.DISK]}D",
+        dx.DEPENDENCY: f"CASE WHEN {_named(stderr)} THEN {remedy.NAMED_PACKAGES_CONFIDENCE}D ELSE {remedy.BASE_CONFIDENCE[dx.DEPENDENCY]}D END",
+        dx.UNKNOWN: f"{remedy.BASE_CONFIDENCE[dx.UNKNOWN]}D"})
+
+
+def _fix_parameters(issue: str, stderr: str) -> str:
+    increment = f"CASE WHEN {_gc(stderr)} THEN '100%' ELSE {_quoted(remedy.DEFAULT_INCREMENT)} END"
+    return _by_issue(issue, {
+        dx.MEMORY: f"to_json(named_struct('memory_increment', {increment}))",
+        dx.DISK: f"to_json(named_struct('disk_increment', {_quoted(remedy.DISK_INCREMENT)}))",
+        dx.DEPENDENCY: f"to_json(named_struct('packages', coalesce({_packages(stderr)}, array())))",
+        dx.UNKNOWN: "'{}'"})
 
 
 def _scalars() -> dict[str, str]:
-    found = "issue_type"
-    named = f"size({_PACKAGES}) > 0"
-    gc = f"coalesce(contains(stderr, {_quoted(remedy.GC_PRESSURE)}), false)"
-    increment = f"CASE WHEN {gc} THEN '100%' ELSE {_quoted(remedy.DEFAULT_INCREMENT)} END"
     return {
-        "runhealth_packages(stderr STRING) RETURNS ARRAY<STRING>": f"coalesce({_PACKAGES}, array())",
-        "runhealth_issue(stderr STRING) RETURNS STRING":
-            f"CASE WHEN stderr IS NULL THEN {_quoted(dx.UNKNOWN)} WHEN classify_issue(stderr) <> {_quoted(dx.UNKNOWN)} THEN classify_issue(stderr) "
-            f"WHEN stderr RLIKE {_quoted(dx.SIGNATURES['oom'])} THEN {_quoted(dx.MEMORY)} "
-            f"WHEN stderr RLIKE {_quoted(dx.SIGNATURES['library'])} OR {named} THEN {_quoted(dx.DEPENDENCY)} ELSE {_quoted(dx.UNKNOWN)} END",
-        "runhealth_fix_confidence(issue_type STRING, stderr STRING) RETURNS DOUBLE": _by_issue(found, {
-            dx.MEMORY: f"CASE WHEN {gc} THEN {remedy.GC_CONFIDENCE}D ELSE {remedy.BASE_CONFIDENCE[dx.MEMORY]}D END",
-            dx.DISK: f"{remedy.BASE_CONFIDENCE[dx.DISK]}D",
-            dx.DEPENDENCY: f"CASE WHEN {named} THEN {remedy.NAMED_PACKAGES_CONFIDENCE}D ELSE {remedy.BASE_CONFIDENCE[dx.DEPENDENCY]}D END",
-            dx.UNKNOWN: f"{remedy.BASE_CONFIDENCE[dx.UNKNOWN]}D"}),
-        "runhealth_fix_parameters(issue_type STRING, stderr STRING) RETURNS STRING": _by_issue(found, {
-            dx.MEMORY: f"to_json(named_struct('memory_increment', {increment}))",
-            dx.DISK: f"to_json(named_struct('disk_increment', {_quoted(remedy.DISK_INCREMENT)}))",
-            dx.DEPENDENCY: "to_json(named_struct('packages', runhealth_packages(stderr)))",
-            dx.UNKNOWN: "'{}'"}),
+        "runhealth_packages(stderr STRING) RETURNS ARRAY<STRING>": f"coalesce({_packages('stderr')}, array())",
+        "runhealth_issue(stderr STRING) RETURNS STRING": _issue("stderr"),
+        "runhealth_fix_confidence(issue_type STRING, stderr STRING) RETURNS DOUBLE": _fix_confidence("issue_type", "stderr"),
+        "runhealth_fix_parameters(issue_type STRING, stderr STRING) RETURNS STRING": _fix_parameters("issue_type", "stderr"),
+        "runhealth_run_facts(for_run BIGINT) RETURNS STRUCT<cluster_id BIGINT, workers INT, n_runs BIGINT, n_clusters BIGINT>":
+            f"(SELECT named_struct('cluster_id', max(r.cluster_id), 'workers', max(c.num_workers), 'n_runs', count(r.run_id), "
+            f"'n_clusters', count(c.cluster_id)) FROM {RUNS} r LEFT JOIN {CLUSTERS} c ON r.cluster_id = c.cluster_id WHERE r.run_id = for_run)",
     }
 
 
 def _tables() -> dict[str, str]:
-    logs_ok, steps_ok = _is_object("logs_json", _LOGS), _is_object("reasoning_json", _STEPS, "[")
-    issue = f"CASE WHEN {_BLANK} THEN {_quoted(dx.UNKNOWN)} ELSE runhealth_issue({_STDERR}) END"
-    parameters_ok = _is_object("parameters_json", _PARAMETERS)
-    parsed = _parsed("parameters_json", _PARAMETERS)
+    def of_logs(good: str, bad: str = "NULL") -> str:
+        """A value of the parsed ``logs``, and another where the text is no JSON object."""
+        return _once(_parsed("logs_json", _LOGS), "logs", f"IF({_opens('logs_json')} AND logs._corrupt_record IS NULL, {good}, {bad})")
+
+    def of_issue(good: str) -> str:
+        return of_logs(_once("issue_type", "issue", good))
+
+    issue = f"CASE WHEN {_BLANK} THEN {_quoted(dx.UNKNOWN)} ELSE {_issue('logs.stderr')} END"
     grows, installs = "fix_type = 'increase_memory'", "fix_type = 'install_dependencies'"
     known = f"fix_type IN ({', '.join(map(_quoted, dict.fromkeys(remedy.FIX_TYPES.values())))})"
     problem = (
-        f"CASE WHEN NOT {parameters_ok} THEN {_quoted(BAD_PARAMETERS)} WHEN n_runs = 0 THEN 'Run not found' WHEN cluster_id IS NULL THEN 'Run names no cluster' "
-        f"WHEN n_clusters = 0 THEN 'Cluster not found' WHEN {installs} AND coalesce(size({parsed}.packages), 0) <= 0 THEN 'No packages to install' "
+        f"CASE WHEN NOT ({_opens('parameters_json')} AND p._corrupt_record IS NULL) THEN {_quoted(BAD_PARAMETERS)} WHEN run.n_runs = 0 THEN 'Run not found' "
+        f"WHEN run.cluster_id IS NULL THEN 'Run names no cluster' "
+        f"WHEN run.n_clusters = 0 THEN 'Cluster not found' WHEN {installs} AND coalesce(size(p.packages), 0) <= 0 THEN 'No packages to install' "
         f"WHEN NOT coalesce({known}, false) THEN concat('Unsupported fix type: ', coalesce(fix_type, 'none')) END")
-    percent = f"coalesce(try_cast(replace(coalesce({parsed}.memory_increment, {_quoted(remedy.DEFAULT_INCREMENT)}), '%', '') AS DOUBLE), 50D)"
+    percent = f"coalesce(try_cast(replace(coalesce(p.memory_increment, {_quoted(remedy.DEFAULT_INCREMENT)}), '%', '') AS DOUBLE), 50D)"
     guidance = {name: _by_issue("issue_type", {k: _quoted(v) for k, v in values.items()})
                 for name, values in (("root_cause", reporting.ROOT_CAUSE), ("outcome", reporting.OUTCOME))}
-    steps = f"array_join(transform({_parsed_array('reasoning_json', _STEPS)}, s -> concat('- ', s.step, ': ', coalesce(s.result, '-'))), '\\n')"
+    steps = "array_join(transform(steps, s -> concat('- ', s.step, ': ', coalesce(s.result, '-'))), '\\n')"
+
+    def of_steps(good: str, bad: str = "NULL") -> str:
+        return _once(_parsed_array("reasoning_json", _STEPS), "steps", f"IF({_opens('reasoning_json', '[')} AND steps IS NOT NULL, {good}, {bad})")
+
     return {
         "diagnose_logs(logs_json STRING) RETURNS TABLE(issue_type STRING, confidence DOUBLE, issue_detected BOOLEAN, error STRING)":
-            f"SELECT IF({logs_ok}, {issue}, NULL), IF({logs_ok}, IF({_BLANK}, {dx.EMPTY_CONFIDENCE}D, {dx.TEXT_CONFIDENCE}D), NULL), "
-            f"IF({logs_ok}, ({issue}) <> {_quoted(dx.UNKNOWN)}, NULL), IF({logs_ok}, NULL, {_quoted(BAD_LOGS)})",
+            f"SELECT {of_logs(issue)}, {of_logs(f'IF({_BLANK}, {dx.EMPTY_CONFIDENCE}D, {dx.TEXT_CONFIDENCE}D)')}, "
+            f"{of_logs(f'({issue}) <> {_quoted(dx.UNKNOWN)}')}, {of_logs('NULL', _quoted(BAD_LOGS))}",
         "suggest_fix_for(issue_type STRING, logs_json STRING) RETURNS TABLE(fix_type STRING, parameters STRING, fix_confidence DOUBLE, error STRING)":
-            f"SELECT IF({logs_ok}, {_by_issue('issue_type', {k: _quoted(v) for k, v in remedy.FIX_TYPES.items()})}, NULL), "
-            f"IF({logs_ok}, runhealth_fix_parameters(issue_type, {_STDERR}), NULL), "
-            f"IF({logs_ok}, runhealth_fix_confidence(issue_type, {_STDERR}), NULL), IF({logs_ok}, NULL, {_quoted(BAD_LOGS)})",
+            f"SELECT {of_issue(_by_issue('issue', {k: _quoted(v) for k, v in remedy.FIX_TYPES.items()}))}, "
+            f"{of_issue(_fix_parameters('issue', 'logs.stderr'))}, "
+            f"{of_issue(_fix_confidence('issue', 'logs.stderr'))}, {of_logs('NULL', _quoted(BAD_LOGS))}",
+        # The lookup is a scalar subquery on the run alone: as part of this body it would meet every distinct fix type and parameters.
         "apply_fix(for_run BIGINT, fix_type STRING, parameters_json STRING) RETURNS TABLE(cluster_id BIGINT, target_workers INT, payload STRING, error STRING)":
-            f"SELECT cluster_id, IF(problem IS NULL AND {grows}, CAST(coalesce(workers, {remedy.DEFAULT_WORKERS}) * (1D + {percent} / 100D) AS INT), NULL), "
-            f"IF(problem IS NULL AND {installs}, to_json(transform({parsed}.packages, p -> named_struct('pypi', named_struct('package', p)))), NULL), problem "
-            f"FROM (SELECT *, {problem} AS problem FROM (SELECT max(r.cluster_id) AS cluster_id, max(c.num_workers) AS workers, count(r.run_id) AS n_runs, "
-            f"count(c.cluster_id) AS n_clusters FROM {RUNS} r LEFT JOIN {CLUSTERS} c ON r.cluster_id = c.cluster_id WHERE r.run_id = for_run))",
+            f"SELECT run.cluster_id, IF(problem IS NULL AND {grows}, CAST(coalesce(run.workers, {remedy.DEFAULT_WORKERS}) * (1D + {percent} / 100D) AS INT), NULL), "
+            f"IF(problem IS NULL AND {installs}, to_json(transform(p.packages, x -> named_struct('pypi', named_struct('package', x)))), NULL), problem "
+            f"FROM (SELECT *, {problem} AS problem FROM (SELECT runhealth_run_facts(for_run) AS run, {_parsed('parameters_json', _PARAMETERS)} AS p))",
         "verify_fix(for_run BIGINT) RETURNS TABLE(outcome STRING, next_run_id BIGINT, next_status STRING, error STRING)":
             f"SELECT max(v.outcome), max(v.next_run_id), max(v.next_status), IF(count(v.run_id) = 0, 'No fix to verify', NULL) "
             f"FROM {VERIFIED} v WHERE v.run_id = for_run",
         "report_for(issue_type STRING, reasoning_json STRING, fix_successful BOOLEAN) RETURNS TABLE(report STRING, error STRING)":
-            f"SELECT IF({steps_ok}, concat('# ', IF(coalesce(fix_successful, false), {_quoted(reporting.HEADLINE_OK)}, {_quoted(reporting.HEADLINE_FAILED)}), "
-            f"'\\n\\n', {guidance['root_cause']}, '\\n\\n', {steps}, '\\n\\n', IF(coalesce(fix_successful, false), {guidance['outcome']}, "
-            f"{_quoted(reporting.NOT_RESOLVED)})), NULL), IF({steps_ok}, NULL, {_quoted(BAD_REASONING)})",
+            "SELECT " + of_steps(
+                f"concat('# ', IF(coalesce(fix_successful, false), {_quoted(reporting.HEADLINE_OK)}, {_quoted(reporting.HEADLINE_FAILED)}), "
+                f"'\\n\\n', {guidance['root_cause']}, '\\n\\n', {steps}, '\\n\\n', IF(coalesce(fix_successful, false), {guidance['outcome']}, "
+                f"{_quoted(reporting.NOT_RESOLVED)}))") + ", " + of_steps("NULL", _quoted(BAD_REASONING)),
     }
 
 

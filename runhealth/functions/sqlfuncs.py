@@ -20,8 +20,15 @@ def _has_any(text: str, terms: list[str]) -> str:
     return "(" + " OR ".join(f"contains({text}, {_quoted(t)})" for t in terms) + ")"
 
 
+def classified(text: str) -> str:
+    """The keyword rule over a SQL expression."""
+    low = f"lower({text})"
+    return (f"CASE WHEN contains({low}, 'memory') AND {_has_any(low, dx.MEMORY_TERMS)} THEN {_quoted(dx.MEMORY)} "
+            f"WHEN contains({low}, 'disk') AND {_has_any(low, dx.DISK_TERMS)} THEN {_quoted(dx.DISK)} "
+            f"WHEN {_has_any(low, dx.DEPENDENCY_TERMS)} THEN {_quoted(dx.DEPENDENCY)} ELSE {_quoted(dx.UNKNOWN)} END")
+
+
 def _definitions() -> dict[str, str]:
-    low = "lower(body)"
     aliases = " ".join(
         f"WHEN name IN ({', '.join(map(_quoted, names))}) THEN {_quoted(issue)}" for issue, names in dx.ALIASES.items())
 
@@ -29,9 +36,7 @@ def _definitions() -> dict[str, str]:
         return f"nullif(regexp_extract(body, {_quoted(pattern)}, 1), '')"
     return {
         "classify_issue(body STRING) RETURNS STRING":
-            f"CASE WHEN contains({low}, 'memory') AND {_has_any(low, dx.MEMORY_TERMS)} THEN {_quoted(dx.MEMORY)} "
-            f"WHEN contains({low}, 'disk') AND {_has_any(low, dx.DISK_TERMS)} THEN {_quoted(dx.DISK)} "
-            f"WHEN {_has_any(low, dx.DEPENDENCY_TERMS)} THEN {_quoted(dx.DEPENDENCY)} ELSE {_quoted(dx.UNKNOWN)} END",
+            classified("body"),
         "confidence_band(confidence DOUBLE) RETURNS STRING":
             f"CASE WHEN confidence * 100 >= {reporting.HIGH} THEN 'high' "
             f"WHEN confidence * 100 >= {reporting.MODERATE} THEN 'moderate' "

@@ -13,7 +13,7 @@ from runhealth.plans import incident
 from runhealth.plans.bindings import FAILURE_NAMES, LOGGER, Tables, pick
 from runhealth.sources import logfiles, logtext, readers, sinks
 from runhealth.streaming import approvals as approvals_live, fix_store, follow, growing, ledger, verify as verify_live
-from runhealth.streaming.scratch import finished, keyed_state_store, landed, one_a_trigger, run_available, shared_folder
+from runhealth.streaming.scratch import finished, keyed_state_store, landed, one_a_trigger, run_available, shared_folder, stored
 
 Query = Callable[[Tables], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -860,13 +860,18 @@ def sql_actions(t: Tables) -> DataFrame:
     """The five actions, one after the other, called from SQL for every run."""
     checked = verify.verify_next_run(t.fixes, t.issue_runs, DAY_SCALE_TIMEOUT).join(t.suggestions.select("fix_id", "run_id"), "fix_id")
     actions.register_actions(t.spark, t.runs, t.clusters, checked)
+    found = t.spark.sql("""
+        SELECT q.run_id, d.issue_type, s.fix_type, s.fix_confidence, s.parameters, d.error AS diagnose_error
+        FROM {requests} q, LATERAL diagnose_logs(q.logs) d, LATERAL suggest_fix_for(d.issue_type, q.logs) s""", requests=_logs_json(t))
+    applied = t.spark.sql("""
+        SELECT q.*, a.cluster_id, a.target_workers, a.payload, a.error AS apply_error
+        FROM {found} q, LATERAL apply_fix(q.run_id, q.fix_type, q.parameters) a""", found=stored(found, "actions-found"))
     return t.spark.sql("""
-        SELECT q.run_id, d.issue_type, s.fix_type, s.fix_confidence, d.error AS diagnose_error, a.cluster_id, a.target_workers, a.payload,
-               a.error AS apply_error, v.outcome, v.next_run_id, v.error AS verify_error, r.report, r.error AS report_error
-        FROM {requests} q, LATERAL diagnose_logs(q.logs) d, LATERAL suggest_fix_for(d.issue_type, q.logs) s,
-             LATERAL apply_fix(q.run_id, s.fix_type, s.parameters) a, LATERAL verify_fix(q.run_id) v,
-             LATERAL report_for(d.issue_type, IF(q.run_id % 7 = 0, 'no steps', concat('[{{"step":"verify","result":"', coalesce(v.outcome, '-'), '"}}]')),
-                                v.outcome = 'success') r""", requests=_logs_json(t))
+        SELECT q.run_id, q.issue_type, q.fix_type, q.fix_confidence, q.diagnose_error, q.cluster_id, q.target_workers, q.payload,
+               q.apply_error, v.outcome, v.next_run_id, v.error AS verify_error, r.report, r.error AS report_error
+        FROM {applied} q, LATERAL verify_fix(q.run_id) v,
+             LATERAL report_for(q.issue_type, IF(q.run_id % 7 = 0, 'no steps', concat('[{{"step":"verify","result":"', coalesce(v.outcome, '-'), '"}}]')),
+                                v.outcome = 'success') r""", applied=stored(applied, "actions-applied"))
 
 
 # -- streams ---------------------------------------------------------------------------------------

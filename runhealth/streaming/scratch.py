@@ -29,6 +29,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows written out once and read back, for a plan that would make them several times."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def keyed_state_store(spark: SparkSession) -> Iterator[None]:
     """Streams started inside keep their state in RocksDB, as custom state needs."""
