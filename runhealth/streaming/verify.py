@@ -80,6 +80,11 @@ def _firsts(runs: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([runs[~tied], some.drop(columns="_number")], ignore_index=True)
 
 
+def _numbered(*jobs: pd.Series) -> np.ndarray:
+    """A number for each job, one after the other; no job is a job of its own."""
+    return pd.factorize(np.concatenate([x.to_numpy(dtype=object) for x in jobs]), use_na_sentinel=False)[0]
+
+
 class FixTimers(StatefulProcessor):
     """The open fixes of a shard's jobs in one bucket and their runs, as blocks of rows, and a timer for the earliest due fix.
 
@@ -132,8 +137,10 @@ class FixTimers(StatefulProcessor):
         if len(due):
             self.fixes.put([packed(still, OPEN)])
         # Rows at or before the watermark are dropped, so a fix still to come is later than that.
-        needed = runs["job_id"].map(still.groupby("job_id", dropna=False)["at"].min()).fillna(watermark).clip(upper=watermark) // DAY
-        kept = runs[(runs["at"] // DAY >= needed).to_numpy()]
+        jobs = _numbered(still["job_id"], runs["job_id"])
+        oldest = np.full(len(still) + len(runs), watermark)
+        np.minimum.at(oldest, jobs[:len(still)], still["at"].to_numpy())
+        kept = runs[runs["at"].to_numpy() // DAY >= oldest[jobs[len(still):]] // DAY]
         if len(kept) < len(runs):
             self.runs.put([packed(kept, RUNS)])
         self.handle.registerTimer(int(min([bucket_end, *still["deadline"]])) * 1000)
@@ -141,7 +148,7 @@ class FixTimers(StatefulProcessor):
     @staticmethod
     def _answers(due: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
         """Each fix with the first run of its job after it, if that is in time."""
-        jobs, _ = pd.factorize(np.concatenate([due["job_id"], runs["job_id"]]), use_na_sentinel=False)
+        jobs = _numbered(due["job_id"], runs["job_id"])
         at = np.concatenate([due["at"], runs["at"]]).astype("int64")
         # Job and time in one number: runs in its order, and each fix's place among them.
         place = jobs * (at.max() - at.min() + 1) + at - at.min()

@@ -99,6 +99,19 @@ def test_a_key_answers_every_job_from_its_own_runs():
     assert not handle.timers and not any(x.blocks for x in handle.lists.values())
 
 
+def test_open_fixes_keep_their_runs_also_without_a_job():
+    day, handle = verify.DAY, Handle()
+    timers = verify.FixTimers(10 * day)
+    timers.init(handle)
+    made = []
+    for job in ("a", None):
+        made += [(job, verify.FIX, f"{job}-early", 0, 2 * day, None, None, 1), (job, verify.FIX, f"{job}-late", day, 8 * day, None, None, 1),
+                 (job, verify.RUN, "1", day + 60, None, None, "SUCCESS", 1), (job, verify.RUN, "2", 7 * day, None, None, "FAILED", 1)]
+    timers.handleInputRows((0, 0), iter([pd.DataFrame(made, columns=["job_id", "kind", "id", "at", "deadline", "issue_type", "status", "buckets"])]), None)
+    got = {r["fix_id"]: r["next_run_id"] for watermark in (5 * day, 9 * day) for r in fired(timers, handle, watermark)}
+    assert got == {"a-early": "1", "a-late": "1", "None-early": "1", "None-late": "1"}
+
+
 def test_state_calls_do_not_follow_the_rows():
     counts = []
     for jobs in (5, 500):
